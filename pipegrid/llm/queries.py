@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pipegrid.llm import bytepair, packing, tokens
+from pipegrid.llm import bytepair, chat, imatch, packing, pii, tokens, topk
 from pipegrid.session import ship
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (packing.op4_packing, tokens.op7_token_counts, bytepair.op10_byte_bpe)}
+    found = {f.__name__: f for f in (chat.op1_chat_format, imatch.op3_imatch, packing.op4_packing, topk.op5_top_k, tokens.op7_token_counts, pii.op8_pii, bytepair.op10_byte_bpe)}
 
     def shipped(f):
         def run(spark, sf_dir):
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_top_k": topk.OP5_SQL}
