@@ -174,14 +174,16 @@ def reliabilities(votes: dict[tuple, int], rounds: int = 60) -> tuple[float, np.
     """The share of true candidates and P(vote | truth) as an array (truth, labeler, vote + 1), by expectation-maximisation."""
     patterns, n = np.array(list(votes), dtype=int), np.array(list(votes.values()), dtype=float)
     prior = 0.5
-    table_ = np.array([[[0.5, 0.3, 0.2]] * _LABELERS, [[0.1, 0.3, 0.6]] * _LABELERS])
+    # what is held before any data: the kind's own check (labeler 0) weighs as much as all candidates, the others little
+    held = np.array([[[2.0, 1.0, 0.5]] * _LABELERS, [[0.5, 1.0, 2.0]] * _LABELERS])
+    held[:, 0] = np.array([[0.9, 0.09, 0.01], [0.01, 0.19, 0.8]]) * max(4.0, n.sum())
+    table_ = held / held.sum(axis=2, keepdims=True)
     for _ in range(rounds):
         p = _posterior(patterns, prior, table_)
         for truth, w in ((0, n * (1 - p)), (1, n * p)):
             for j in range(_LABELERS):
                 got = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
-                start = np.array([2.0, 1.0, 0.5]) if truth == 0 else np.array([0.5, 1.0, 2.0])
-                table_[truth, j] = (got + start) / (got + start).sum()
+                table_[truth, j] = (got + held[truth, j]) / (got + held[truth, j]).sum()
         prior = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
     return prior, table_
 
