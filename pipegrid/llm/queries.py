@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pipegrid.llm import bytepair, chat, imatch, neardup, packing, pii, tokens, topk
+from pipegrid.llm import bytepair, chat, exactdup, imatch, neardup, packing, pii, tokens, topk
 from pipegrid.session import ship
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (chat.op1_chat_format, imatch.op3_imatch, neardup, packing.op4_packing, topk.op5_top_k, tokens.op7_token_counts, pii.op8_pii, neardup.op9_minhash, bytepair.op10_byte_bpe)}
+    found = {f.__name__: f for f in (chat.op1_chat_format, exactdup.op2_suffix_dedup, imatch.op3_imatch, neardup, packing.op4_packing, topk.op5_top_k, tokens.op7_token_counts, pii.op8_pii, neardup.op9_minhash, bytepair.op10_byte_bpe)}
 
     def shipped(f):
         def run(spark, sf_dir):
