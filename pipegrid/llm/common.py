@@ -25,14 +25,40 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; a temporary one only where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder of spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def rewrite(docs: DataFrame, run) -> DataFrame:
+    """docs with the same columns, each block of rows through run (an Arrow table to one with the same columns)."""
+    names = docs.columns
+
+    def each(batches):
+        for t in blocks(batches):
+            for batch in run(t).select(names).combine_chunks().to_batches():
+                yield batch
+
+    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    return plain.mapInArrow(each, docs.schema)
+
+
+def with_text(t: pa.Table, texts_: list[str]) -> pa.Table:
+    """The table t with other texts, and n_chars to match where it has that column."""
+    t = t.set_column(t.schema.get_field_index("text"), t.schema.field("text"), pa.array(texts_, t.schema.field("text").type))
+    k = t.schema.get_field_index("n_chars")
+    return t if k < 0 else t.set_column(k, t.schema.field("n_chars"), pa.array([len(x) for x in texts_], t.schema.field("n_chars").type))
+
+
 def buckets(df: DataFrame) -> int:
     """How many groups packed rows are dealt to: as many as the session's shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipegrid.llm.bwt import repeated
-from pipegrid.llm.common import buckets, spread, table, texts, utf8
+from pipegrid.llm.common import buckets, spread, table, utf8, with_text
 from pipegrid.llm.neardup import _LETTER, _U, mix
 
 WIDTH, GRAM = 50, 25
@@ -300,54 +300,69 @@ def solve_contexts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc:
     return name, lowest
 
 
+def _covered(t: pa.Table, mail: pa.Table, n: int) -> tuple[Entries, np.ndarray]:
+    """The block's entries, and for each of its bytes whether it goes."""
+    e = Entries(t)
+    edges = e.bucket_edges(n)
+    entry, offset, length, low = [], [], [], []
+    for r in mail.to_pylist():
+        if r["kind"] == "single":
+            index, lowest = _unzip(r["body"], 2)
+            index = index + edges[r["source"]]
+            entry.append(index), offset.append(np.zeros(len(index), np.int64)), length.append(e.count[e.sample[index]]), low.append(lowest)
+        elif r["kind"] == "runs":
+            index, off, size, lowest = _unzip(r["body"], 4)
+            entry.append(index + edges[r["source"]]), offset.append(off), length.append(size), low.append(lowest)
+    cover = np.zeros(len(e.data) + 1, np.int32)
+    if entry:
+        entry, offset, length, low = (np.concatenate(x) for x in (entry, offset, length, low))
+        order = np.argsort(entry, kind="stable")
+        entry, offset, length, low = entry[order], offset[order], length[order], low[order]
+        first = np.searchsorted(entry, np.arange(len(e.anchor) + 1))
+        many = np.diff(first)[e.which]
+        occurrence = np.repeat(np.arange(len(e.which)), many)
+        run = spread(first[:-1][e.which], many)
+        gone = e.order_ids[e.doc[occurrence]] > low[run]
+        occurrence, run = occurrence[gone], run[gone]
+        begin = e.first[occurrence] + offset[run]
+        np.add.at(cover, begin, 1)
+        np.subtract.at(cover, begin + length[run] + WIDTH - 1, 1)
+    return e, np.cumsum(cover[:-1]) > 0
+
+
 def _remove(n: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(t: pa.Table, mail: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind), pa.array([], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        e, gone = _covered(t, mail, n) if t.num_rows else (None, None)
+        ids, size, spans, kept = [], [], [], []
+        if e:
+            for a, b in zip(e.offsets[:-1].tolist(), e.offsets[1:].tolist(), strict=True):
+                own = gone[a:b]
+                turn = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist() if own.any() else []
+                spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                kept.append((e.data[a:b][~own] if turn else e.data[a:b]).tobytes())
+            ids, size = e.ids, np.diff(e.offsets)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    return run
+
+
+def _rewrite(n: int, names: list[str]):
+    def run(t: pa.Table, mail: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return empty
-        e = Entries(t)
-        edges = e.bucket_edges(n)
-        entry, offset, length, low = [], [], [], []
-        for r in mail.to_pylist():
-            if r["kind"] == "single":
-                index, lowest = _unzip(r["body"], 2)
-                index = index + edges[r["source"]]
-                entry.append(index), offset.append(np.zeros(len(index), np.int64)), length.append(e.count[e.sample[index]]), low.append(lowest)
-            elif r["kind"] == "runs":
-                index, off, size, lowest = _unzip(r["body"], 4)
-                entry.append(index + edges[r["source"]]), offset.append(off), length.append(size), low.append(lowest)
-        cover = np.zeros(len(e.data) + 1, np.int32)
-        if entry:
-            entry, offset, length, low = (np.concatenate(x) for x in (entry, offset, length, low))
-            order = np.argsort(entry, kind="stable")
-            entry, offset, length, low = entry[order], offset[order], length[order], low[order]
-            first = np.searchsorted(entry, np.arange(len(e.anchor) + 1))
-            many = np.diff(first)[e.which]
-            occurrence = np.repeat(np.arange(len(e.which)), many)
-            run_ = spread(first[:-1][e.which], many)
-            gone = e.order_ids[e.doc[occurrence]] > low[run_]
-            occurrence, run_ = occurrence[gone], run_[gone]
-            begin = e.first[occurrence] + offset[run_]
-            np.add.at(cover, begin, 1)
-            np.subtract.at(cover, begin + length[run_] + WIDTH - 1, 1)
-        gone = np.cumsum(cover[:-1]) > 0
-        spans, kept = [], []
-        for a, b in zip(e.offsets[:-1].tolist(), e.offsets[1:].tolist(), strict=True):
-            own = gone[a:b]
-            turn = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).tolist() if own.any() else []
-            spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-            kept.append((e.data[a:b][~own] if turn else e.data[a:b]).tobytes())
-        return pa.table([pa.array(e.ids, pa.int64()), pa.array(np.diff(e.offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            return t.select(names)
+        e, gone = _covered(t, mail, n)
+        kept = [e.data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(e.offsets[:-1].tolist(), e.offsets[1:].tolist(), strict=True)]
+        return with_text(t, kept).select(names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of the removed bytes) and kept (the remaining bytes) of every row."""
+def _judged(docs: DataFrame, last, schema) -> DataFrame:
+    """Every block of docs (doc_id, text, part and more) with the verdicts of all buckets, through last."""
     n = buckets(docs)
-    plain = texts(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     blocks = plain.groupBy("part")
     told = blocks.applyInArrow(_tell(n), _MAIL)
     met = told.groupBy("target").applyInArrow(_meet(n), _MAIL)
@@ -355,7 +370,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = blocks.cogroup(fresh(met).groupBy("to")).applyInArrow(_send(n), _MAIL)
     solved = met.where("kind = 'keep'").unionByName(sent).groupBy("target").applyInArrow(_solve(n), _MAIL)
     back = met.where("kind = 'single'").unionByName(solved)
-    return blocks.cogroup(fresh(back).groupBy("to")).applyInArrow(_remove(n), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return blocks.cogroup(fresh(back).groupBy("to")).applyInArrow(last(n), schema)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, spans (start and end of the removed bytes) and kept (the remaining bytes) of every row."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(own, _remove, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the same columns (among them doc_id, a long, and text; none named part), each text without repeated passages."""
+    return _judged(docs, lambda n: _rewrite(n, docs.columns), docs.schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

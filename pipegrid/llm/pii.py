@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import blocks, table, texts
+from pipegrid.llm.common import blocks, rewrite, table, texts, with_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "number", "address")
@@ -253,6 +253,25 @@ def find_spans(docs: DataFrame, least: float = 0.5, model: dict[tuple, float] |
     return texts(docs).mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(model), least), _SPANS)
 
 
+def _masked(text: str, score: dict, least: float) -> str:
+    base, found = _candidates(text)
+    spans = sorted([(s, e, k) for k, s, e, ok in base if ok] + [(s, e, k) for k, s, e, x in found if score.get(x, 0.0) >= least])
+    out, end = [], 0
+    for s, e, k in spans:
+        if s >= end:
+            out += [text[end:s], f"<{k}>"]
+        end = max(end, e)
+    return "".join([*out, text[end:]])
+
+
+def mask(docs: DataFrame, least: float = 0.5, model: dict[tuple, float] | None = None) -> DataFrame:
+    """docs with all columns, each span (of spans that overlap, the first) replaced by its kind in angle brackets."""
+    if model is None:
+        model, _ = train(observe(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rewrite(docs, lambda t: with_text(t, [_masked(x, shared.value, least) for x in t.column("text").to_pylist()]))
+
+
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
