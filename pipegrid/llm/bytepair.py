@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from pipegrid.llm.common import blocks, spread, table, texts
 
 
+#: Bytes of text whose distinct words are replayed together.
+BLOCK = 4 << 20
+
+
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     """Rank by token of a .tiktoken file's bytes."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
@@ -145,20 +149,23 @@ class MergeReplay:
         return self.flat[spread(self.start[ids], self.length[ids])].tobytes()
 
 
-def _encode(ranks, pattern: str):
+def _encode(ranks, pattern: str, back: bool):
     def run(batches):
         import regex
 
         replay, split = MergeReplay(read_ranks(ranks.value)), regex.compile(pattern)
-        for t in blocks(batches):
+        for t in blocks(batches, BLOCK):
             vocabulary: dict[str, int] = {}
             lists = []
             for text in t.column("text").to_pylist():
                 lists.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split.findall(text)], dtype=np.int64))
             ids, count = replay.encode([w.encode() for w in vocabulary])
             first = np.cumsum(count) - count
-            found = [ids[spread(first[x], count[x])] for x in lists]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], names=["doc_id", "ids"])
+            coded = [ids[spread(first[x], count[x])].astype("<u4").tobytes() for x in lists]
+            columns = {"doc_id": t.column("doc_id").combine_chunks(), "ids": pa.array(coded, pa.binary())}
+            if back:
+                columns["decoded"] = pa.array([replay.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in coded], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -178,9 +185,12 @@ def _shared(df: DataFrame, vocabulary: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row, by a .tiktoken file and its split pattern."""
-    return texts(docs).mapInArrow(_encode(_shared(docs, vocabulary), pattern), "doc_id long, ids binary")
+def encode(docs: DataFrame, vocabulary: str, pattern: str, back: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row, by a .tiktoken file and its split pattern.
+
+    back: also decoded, the bytes that the ids stand for, in the same Python workers.
+    """
+    return texts(docs).mapInArrow(_encode(_shared(docs, vocabulary), pattern, back), "doc_id long, ids binary" + ", decoded binary" * back)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -193,6 +203,6 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, back=True)
     size = (F.length("ids") / 4).cast("long")
     return both.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
