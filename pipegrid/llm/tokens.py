@@ -19,10 +19,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import blocks, buckets, cut, texts
+from pipegrid.llm.common import blocks, buckets, cut, spread, texts
+
+#: Bytes of text that share one list of numbered words.
+BLOCK = 16 << 20
 
 _BLANK = re.compile(r"[ \t\n\r\v\f]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -34,12 +38,11 @@ def words(text: str) -> list[str]:
 
 
 class WordEncoder:
-    """Ids of words by the tokenizers library, many words in one call, kept for words seen before up to a bound."""
+    """Ids of words by the tokenizers library, many words in one call."""
 
-    def __init__(self, vocabulary: bytes, most: int = 200_000):
+    def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
 
-        self.most, self.known = most, {}
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -67,27 +70,35 @@ class WordEncoder:
                 out[i] = ids[a:b]
         return out
 
-    def ids(self, wanted: set[str]) -> dict[str, bytes]:
-        """Little-endian unsigned 32-bit ids by word, for at least the wanted words."""
-        if len(self.known) > self.most:
-            self.known = {}
-        new = [w for w in wanted if w not in self.known]
-        self.known.update((w, x.tobytes()) for w, x in zip(new, self.encode(new), strict=True))
-        return self.known
 
+def _zipped(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their first, second, third and fourth bytes."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
-def _pack(n: int):
-    """Per block of documents: a row with every document's word frequencies, and a row with the words of each bucket."""
+
+def _pack(n: int, ordered: bool):
+    """Per block of documents: a row with every document's words by number, and a row with the words of each bucket.
+
+    ordered: the words of a document in their order; otherwise its distinct words and their frequencies.
+    """
 
     def run(batches):
-        for t in blocks(batches):
+        for t in blocks(batches, BLOCK):
             block = uuid.uuid4().hex
             vocabulary: dict[str, int] = {}
-            which, many, per = [], [], []
+            which, many, per, size = [], [], [], []
             for text in t.column("text").to_pylist():
-                found = Counter(words(text))
+                size.append(len(text.encode()))
+                found = words(text)
+                if not ordered:
+                    found = Counter(found)
+                    many.extend(found.values())
                 per.append(len(found))
-                many.extend(found.values())
                 which.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
             raw = [w.encode() for w in vocabulary]
             at = np.array([zlib.crc32(w) for w in raw], dtype=np.uint32) % n
@@ -95,14 +106,17 @@ def _pack(n: int):
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order))
             ends = np.searchsorted(at[order], np.arange(n + 1)).tolist()
-            body = np.concatenate([np.array(per, "<u4"), place[np.array(which, "<i8")].astype("<u4"), np.array(many, "<u4")])
-            size = [len(x.encode()) for x in t.column("text").to_pylist()]
-            head = [t.column("doc_id").to_pylist(), size]
-            yield _row(block, -1, len(raw), zlib.compress(body.tobytes(), 1), *head)
+            place, per = place[np.array(which, np.int64)].astype(np.int64), np.array(per, np.int64)
+            if not ordered:  # by number within a document, as steps: small numbers take less room
+                whole = np.repeat(np.arange(len(per)), per) * len(raw) + place
+                by = np.argsort(whole)
+                place, many = np.diff(whole[by], prepend=0) % max(1, len(raw)), np.array(many, np.int64)[by]
+            body = [per, place, many]
+            yield _row(block, -1, len(raw), _zipped(np.concatenate(body)), t.column("doc_id").to_pylist(), size)
             for b in range(n):
                 if ends[b] < ends[b + 1]:
                     some = [raw[i] for i in order[ends[b] : ends[b + 1]]]
-                    yield _row(block, b, ends[b], zlib.compress(b" ".join(some), 1), [], [])
+                    yield _row(block, b, ends[b], zstandard.compress(b" ".join(some), 1), [], [])
 
     return run
 
@@ -117,51 +131,60 @@ def _row(block, bucket, start, body, ids, size):
 _PACKED = "block string, bucket int, start long, body binary, ids array<long>, size array<long>"
 
 
-def _count(vocabulary):
+def _count(vocabulary, ids: bool):
     """Pieces of every distinct word of a bucket, once, and back to each block that has the word."""
 
     def run(t: pa.Table) -> pa.Table:
         encoder = WordEncoder(vocabulary.value)
-        lists = [zlib.decompress(x).decode().split(" ") for x in t.column("body").to_pylist()]
-        distinct = list(dict.fromkeys(w for some in lists for w in some))
-        count = dict(zip(distinct, map(len, encoder.encode(distinct)), strict=True))
-        body = [zlib.compress(np.array([count[w] for w in some], "<u4").tobytes(), 1) for some in lists]
+        lists = [zstandard.decompress(x).decode().split(" ") for x in t.column("body").to_pylist()]
+        number: dict[str, int] = {}
+        which = [np.array([number.setdefault(w, len(number)) for w in some], np.int64) for some in lists]
+        found = encoder.encode(list(number))
+        count = np.array([len(x) for x in found], np.int64)
+        flat, first = np.concatenate(found).astype(np.int64), np.cumsum(count) - count
+        body = [_zipped(np.concatenate([count[x], flat[spread(first[x], count[x])]] if ids else [count[x]])) for x in which]
         empty = pa.array([[]] * len(body), pa.list_(pa.int64()))
-        return pa.table([t.column("block"), t.column("bucket"), t.column("start"), pa.array(body, pa.binary()), empty, empty], names=["block", "bucket", "start", "body", "ids", "size"])
+        return pa.table([t.column("block"), t.column("bucket"), pa.array([len(x) for x in which], pa.int64()), pa.array(body, pa.binary()), empty, empty], names=["block", "bucket", "start", "body", "ids", "size"])
 
     return run
 
 
+def joined(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's documents, words per document, the rest of its body, and the counts and ids by word number."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
+    docs, counts, ids = rows[0], [], []
+    for r in rows[1:]:
+        x = _numbers(r["body"])
+        counts.append(x[: r["start"]])
+        ids.append(x[r["start"] :])
+    body, n = _numbers(docs["body"]), len(docs["ids"])
+    none = [np.zeros(0, np.int64)]
+    return docs, body[:n], body[n:], np.concatenate(counts or none), np.concatenate(ids or none)
+
+
 def _sum(t: pa.Table) -> pa.Table:
     """A block's frequencies times its words' counts, summed per document."""
-    counts, docs = np.zeros(0, np.int64), None
-    rows = t.to_pylist()
-    docs = next(r for r in rows if r["bucket"] < 0)
-    counts = np.zeros(docs["start"], np.int64)
-    for r in rows:
-        if r["bucket"] >= 0:
-            x = np.frombuffer(zlib.decompress(r["body"]), "<u4")
-            counts[r["start"] : r["start"] + len(x)] = x
-    n = len(docs["ids"])
-    body = np.frombuffer(zlib.decompress(docs["body"]), "<u4").astype(np.int64)
-    per, rest = body[:n], body[n:]
+    docs, per, rest, counts, _ = joined(t)
     which, many = rest[: len(rest) // 2], rest[len(rest) // 2 :]
+    which = np.cumsum(which) % max(1, docs["start"])
     total = np.zeros(len(which) + 1, np.int64)
     np.cumsum(counts[which] * many, out=total[1:])
     ends = np.cumsum(per)
     return pa.table([pa.array(docs["ids"], pa.int64()), pa.array(docs["size"], pa.int64()), pa.array(total[ends] - total[ends - per], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
 
+def by_block(docs: DataFrame, vocabulary: str, ordered: bool):
+    """Blocks of documents with the counts (ordered: and ids) of their words, grouped by block; see joined."""
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = cut(texts(docs).mapInArrow(_pack(buckets(docs), ordered), _PACKED))
+    counted = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(_count(shared, ordered), _PACKED)
+    return rows.where("bucket < 0").unionByName(counted).groupBy("block")
+
+
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row of docs, by the tokenizer file at vocabulary."""
-    spark = docs.sparkSession
-    with open(vocabulary, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    n = buckets(docs)
-    rows = cut(texts(docs).mapInArrow(_pack(n), _PACKED))
-    counted = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(_count(shared), _PACKED)
-    both = rows.where("bucket < 0").unionByName(counted)
-    return both.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
+    return by_block(docs, vocabulary, False).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark, sf_dir: str, most: int = 2048) -> DataFrame:
