@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import blocks, cut, table, texts
-from pipegrid.llm.tokens import WordEncoder, words
+from pipegrid.llm.common import cut, spread, table
+from pipegrid.llm.tokens import by_block, joined
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
@@ -64,28 +64,31 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {length: np.array(rows, dtype=np.int64).reshape(-1, 4) for length, rows in slots.items()}
 
 
-def _pieces(vocabulary, capacity: int, end: int):
-    def run(batches):
-        encoder, last = WordEncoder(vocabulary.value), np.array([end], "<u4").tobytes()
-        for t in blocks(batches):
-            lists = [words(x) for x in t.column("text").to_pylist()]
-            known = encoder.ids(set().union(*lists))
-            doc, piece, start, length, body = [], [], [], [], []
-            for i, some in zip(t.column("doc_id").to_pylist(), lists, strict=True):
-                ids = b"".join([known[w] for w in some]) + last
-                for p, a in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * a : 4 * (a + capacity)]
-                    doc.append(i), piece.append(p), start.append(a), length.append(len(part) // 4), body.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+def _pieces(capacity: int, end: int):
+    """A block's documents as pieces, their ids gathered from the ids of the block's words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        docs, per, which, counts, flat = joined(t)
+        first, ends = np.cumsum(counts) - counts, np.cumsum(per)
+        last = np.array([end], "<u4").tobytes()
+        doc, piece, start, length, body = [], [], [], [], []
+        for i, a, b in zip(docs["ids"], (ends - per).tolist(), ends.tolist(), strict=True):
+            some = which[a:b]
+            ids = flat[spread(first[some], counts[some])].astype("<u4").tobytes() + last
+            for p, a in enumerate(range(0, len(ids) // 4, capacity)):
+                part = ids[4 * a : 4 * (a + capacity)]
+                doc.append(i), piece.append(p), start.append(a), length.append(len(part) // 4), body.append(part)
+        return pa.table([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece; each document ends with end."""
-    with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    return texts(docs).mapInArrow(_pieces(shared, capacity, end), "doc_id long, piece int, start long, length long, ids binary")
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece; each document ends with end.
+
+    Every distinct word is encoded once for the whole corpus; blocks of documents get their words' ids by block.
+    """
+    return by_block(docs, vocabulary, True).applyInArrow(_pieces(capacity, end), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _place(slots):
