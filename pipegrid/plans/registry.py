@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from pipegrid.plans import relational, routes  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
