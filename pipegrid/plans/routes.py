@@ -24,9 +24,9 @@ def _occupied(spark, sf, without_passing: bool = False):
     return G.voxelize(boxes.where(~B.passes_through()) if without_passing else boxes, D.SHAPE, D.CELL_MM)
 
 
-def _routes(spark, sf, mode: str, plan: Plan, tasks=None):
+def _routes(spark, sf, mode: str, plan: Plan, tasks=None, **more):
     ship(spark)
-    return route_scenes(D.tasks(spark, sf) if tasks is None else tasks, _occupied(spark, sf), D.SHAPE, plan, mode)
+    return route_scenes(D.tasks(spark, sf) if tasks is None else tasks, _occupied(spark, sf), D.SHAPE, plan, mode, **more)
 
 
 def _digest(routes):
@@ -46,7 +46,7 @@ def rt_independent(spark, sf):
 
 @query("rt_tube")
 def rt_tube(spark, sf):
-    return _digest(_routes(spark, sf, "tube", Plan(WEIGHTS)))
+    return _digest(_routes(spark, sf, "tube", Plan(WEIGHTS), tube=(2, 2)))
 
 
 @query("rt_sequential")
