@@ -6,8 +6,9 @@ bins hold a value, and after as many rounds as there are bins each further round
 every coordinate fills whatever the size of the set, and the share of agreeing coordinates concentrates about the similarity.
 Bands of coordinates give candidate buckets. Within a bucket the members are compared with a centre (first per partition, then
 among the partitions' centres, so that a bucket of any size costs as many comparisons as it has members); all candidates
-are confirmed on the full sets. Buckets whose members then still lie in several components are compared member by member
-across components. With 48 bands of 5 coordinates a pair of similarity 0.75 misses all buckets with probability 2.3e-6, which
+are confirmed on the full sets. Where the members of a bucket then still lie in several components, they meet the bucket's hub
+and, after that, the members of other components with which they share one of their rarest shingles (which any link takes).
+With 48 bands of 5 coordinates a pair of similarity 0.75 misses all buckets with probability 2.3e-6, which
 is the only way to lose a link.
 
 Null text is empty; documents without words have an empty set and are linked with nothing. A null doc_id is linked with nothing
@@ -21,11 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import blocks, cut, spread, table, texts, utf8
+from pipegrid.llm.common import blocks, buckets, cut, spread, table, texts, utf8
 from pipegrid.llm.graph import components
 
 BINS, ROWS = 240, 5
@@ -226,6 +228,126 @@ def _body(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[good]), pa.array([zstandard.compress(text[i].encode(), 3) for i in good], pa.binary())], names=["c", "body"])
 
 
+_SHARE = "block long, bucket int, body binary, members array<long>, low array<long>"
+
+
+def _share_rows(block, bucket, body, members, labels):
+    lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+    return [pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), lists(members), lists(labels)]
+
+
+_SHARE_NAMES = ["block", "bucket", "body", "members", "low"]
+
+
+_ANSWER = 1 << 24  # added to the bucket of an answer
+
+
+def _shares(n: int):
+    """A block's members, and for each bucket of shingles the 32-bit shingles with the number of the member."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        sets = [np.unique(x >> _U(32)) for x in _unzipped(t.column("body"))]
+        number = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        h = np.concatenate(sets)
+        order = np.argsort(h, kind="stable")
+        h, number = h[order], number[order]
+        edges = np.searchsorted((h * _U(n) >> _U(32)).astype(np.int64), np.arange(n + 1)).tolist()
+        labels = t.column("label").to_pylist()
+        rows = [(block, k, zstandard.compress(h[x:y].astype("<u4").tobytes() + number[x:y].astype("<u4").tobytes(), 1), [], labels) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+        rows.append((block, -1, b"", t.column("c").to_pylist(), t.column("enough").to_pylist()))
+        return pa.table(_share_rows(*zip(*rows, strict=True)), names=_SHARE_NAMES)
+
+    return run
+
+
+def _pairs_of(body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(body), "<u4").reshape(2, -1).astype(np.int64)
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """For each shingle that a bucket was told: twice the number of members that have it, and one if several components do."""
+    shingle, label, sizes = [], [], []
+    for body, labels in zip(t.column("body").to_pylist(), t.column("low").to_pylist(), strict=True):
+        h, member = _pairs_of(body)
+        shingle.append(h), label.append(np.array(labels, np.int64)[member]), sizes.append(len(h))
+    shingle, label = np.concatenate(shingle), np.concatenate(label)
+    order = np.argsort(shingle, kind="stable")
+    starts = np.flatnonzero(np.diff(shingle[order], prepend=-1))
+    many = np.diff(np.append(starts, len(order)))
+    several = np.minimum.reduceat(label[order], starts) < np.maximum.reduceat(label[order], starts)
+    told = np.empty(len(order), np.int64)
+    told[order] = np.repeat(2 * many + several, many)
+    body = [zstandard.compress(x.astype("<u4").tobytes(), 1) for x in np.split(told, np.cumsum(sizes)[:-1])]
+    none = [[]] * t.num_rows
+    return pa.table(_share_rows(t.column("block").to_pylist(), [x + _ANSWER for x in t.column("bucket").to_pylist()], body, none, none), names=_SHARE_NAMES)
+
+
+def _prefix(t: pa.Table) -> pa.Table:
+    """The rarest shingles of each member of a block, as many as a link cannot do without, of those that several components have."""
+    rows = sorted(zip(t.column("bucket").to_pylist(), t.column("body").to_pylist(), strict=True))
+    own = t.filter(pc.less(t.column("bucket"), 0)).to_pylist()[0]
+    asked = [_pairs_of(body) for b, body in rows if 0 <= b < _ANSWER]
+    h, member = np.concatenate(asked, axis=1) if asked else np.zeros((2, 0), np.int64)
+    told = np.concatenate([np.frombuffer(zstandard.decompress(body), "<u4").astype(np.int64) for b, body in rows if b >= _ANSWER] or [np.zeros(0, np.int64)])
+    order = np.lexsort((h, told >> 1, member))
+    h, member, told = h[order], member[order], told[order]
+    size = np.bincount(member, minlength=len(own["members"]))
+    place = np.arange(len(member)) - (np.cumsum(size) - size)[member]
+    # two more than needed, for shingles of a text that are equal in 32 bits
+    good = (place < (size - np.array(own["low"]) + 3)[member]) & (told & 1 == 1)
+    return pa.table({"c": pa.array(np.array(own["members"], np.int64)[member[good]], pa.int64()), "h": pa.array(h[good], pa.int64())})
+
+
+def _confirm_block(least: int):
+    """Members against a block of others: a link (a, b) to each component in which a member of the block is similar enough."""
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if some.num_rows and block.num_rows:
+            sets = _unzipped(block.column("body"))
+            size, label, c = np.array([len(x) for x in sets]), np.asarray(block.column("label")), np.asarray(block.column("c"))
+            flat, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, member = flat[order], member[order]
+            for own, mine, x in zip(some.column("x").to_pylist(), some.column("of").to_pylist(), _unzipped(some.column("own")), strict=True):
+                first = np.searchsorted(flat, x)
+                both = np.bincount(member[spread(first, np.searchsorted(flat, x, side="right") - first)], minlength=len(sets))
+                good = np.flatnonzero((100 * both >= least * (len(x) + size - both)) & (label != mine))
+                good = good[np.unique(label[good], return_index=True)[1]]
+                a.append(np.full(len(good), own)), b.append(c[good])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return run
+
+
+def across_components(sized: DataFrame, bodies: DataFrame, least: int, group: int = 1024) -> DataFrame:
+    """The links (a, b) that join components, of the members (key, c, n, label) of buckets that lie in several.
+
+    Sets of sizes n and m have a similarity of least per cent only if they share least * (n + m) / (100 + least) shingles. So
+    with m the smallest size in a member's buckets (at least least per cent of n) it may lack but few of its shingles, and
+    two linked sets share one of these few rarest of both (prefix filtering, which loses no link). Of the members that have a
+    rare shingle all but its largest component meet the blocks of members that have it, a block at a time.
+    """
+    mixed = sized.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("m")).where("a <> b").select("key", "m")
+    size = F.greatest("m", F.ceil(F.col("n") * least / 100))
+    need = cut(sized.join(mixed, "key").groupBy("c").agg(F.first("label").alias("label"), F.min(F.ceil((F.col("n") + size) * least / (100 + least))).alias("enough")))
+    parts = max(1, -(-need.count() // group))
+    opened = cut(need.join(bodies, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.lit(parts))))
+    told = cut(opened.groupBy("block").applyInArrow(_shares(buckets(sized)), _SHARE))
+    met = told.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, _SHARE)
+    rows = told.unionByName(met).groupBy("block").applyInArrow(_prefix, "c long, h long").join(opened.select("c", "label", "block"), "c")
+    rows = cut(rows)
+    most = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("h").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
+    few = rows.join(most, "h").where("label <> most").select("h", F.col("c").alias("x"))
+    meets = few.join(rows.select("h", "block").distinct(), "h").select("x", "block").distinct()
+    counts = meets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("shares"))
+    some = meets.join(counts, "block").select("x", "block", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
+    some = some.join(opened.select(F.col("c").alias("x"), F.col("label").alias("of"), F.col("body").alias("own")), "x")
+    whole = opened.join(counts, "block").select("c", "label", "body", F.col("block").alias("at"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("turn"))
+    return some.groupBy("block", "share").cogroup(whole.groupBy("at", "turn")).applyInArrow(_confirm_block(least), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the documents it is linked with, directly or not), kept."""
     plain = texts(docs)
@@ -242,15 +364,20 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     links = cut(confirmed(pairs, bodies, least))
     label = components(links)
 
-    # buckets that still hold members of several components: each member against those of the others
-    sized = members.select("key", "c").distinct().join(classes.select("c", "n"), "c").join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
-    mixed = sized.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_ = cut(sized.join(mixed, "key"))
-    one, two = (open_.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("c", "n", "label"))) for i in (1, 2))
-    rest = one.join(two, "key").where("label1 <> label2 and c1 > c2 and 100 * n1 >= %d * n2 and 100 * n2 >= %d * n1" % (least, least))
-    rest = cut(rest.select(F.col("c1").alias("c"), F.col("c2").alias("centre")).distinct().join(pairs, ["c", "centre"], "left_anti"))
-    if not rest.isEmpty():
-        label = components(links.unionByName(confirmed(rest, bodies, least)))
+    # the members of a bucket that are in another component than its hub, the member in the largest buckets, meet the hub
+    sizes = cut(members.select("key", "c").distinct().join(classes.select("c", "n"), "c"))
+    weight = sizes.join(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("many")), "key").groupBy("c").agg(F.sum("many").alias("weight"))
+    labelled = lambda: sizes.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
+    known = labelled()
+    hubs = known.join(weight, "c").groupBy("key").agg(F.max_by(F.struct("c", "label"), F.struct("weight", "c")).alias("hub"))
+    rest = known.join(hubs, "key").where("label <> hub.label").select("c", F.col("hub.c").alias("centre")).distinct()
+    rest = cut(rest.join(pairs, ["c", "centre"], "left_anti"))
+    links = cut(links.unionByName(confirmed(rest, bodies, least)))
+    label = components(links)
+    # what may still have a link meets the members of other components
+    last = cut(across_components(labelled(), bodies, least))
+    if not last.isEmpty():
+        label = components(links.unionByName(last))
 
     named = classes.select("c", "m").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     lowest = named.groupBy("label").agg(F.min("m").alias("low"))
