@@ -16,9 +16,11 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pipegrid.llm.common import blocks, buckets, cut, spread, texts
 
 #: Bytes of text that share one list of numbered words.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 _BLANK = re.compile(r"[ \t\n\r\v\f]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -71,6 +73,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: bytes) -> WordEncoder:
+    """A Python worker's encoder, kept from group to group."""
+    return WordEncoder(vocabulary)
+
+
 def _zipped(x: np.ndarray) -> bytes:
     """Numbers as compressed planes of their first, second, third and fourth bytes."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
@@ -81,6 +89,14 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _pack(n: int, ordered: bool):
     """Per block of documents: a row with every document's words by number, and a row with the words of each bucket.
 
@@ -90,27 +106,27 @@ def _pack(n: int, ordered: bool):
     def run(batches):
         for t in blocks(batches, BLOCK):
             block = uuid.uuid4().hex
-            vocabulary: dict[str, int] = {}
-            which, many, per, size = [], [], [], []
+            size = pc.binary_length(t.column("text")).to_pylist()
+            vocabulary, which, many, per = _Numbers(), [], [], []
             for text in t.column("text").to_pylist():
-                size.append(len(text.encode()))
                 found = words(text)
                 if not ordered:
                     found = Counter(found)
-                    many.extend(found.values())
+                    many.append(np.fromiter(found.values(), np.int64, len(found)))
                 per.append(len(found))
-                which.extend([vocabulary.setdefault(w, len(vocabulary)) for w in found])
+                which.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
+            which, many = np.concatenate(which), np.concatenate(many or [np.zeros(0, np.int64)])
             raw = [w.encode() for w in vocabulary]
             at = np.array([zlib.crc32(w) for w in raw], dtype=np.uint32) % n
             order = np.argsort(at, kind="stable")
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order))
             ends = np.searchsorted(at[order], np.arange(n + 1)).tolist()
-            place, per = place[np.array(which, np.int64)].astype(np.int64), np.array(per, np.int64)
+            place, per = place[which].astype(np.int64), np.array(per, np.int64)
             if not ordered:  # by number within a document, as steps: small numbers take less room
                 whole = np.repeat(np.arange(len(per)), per) * len(raw) + place
                 by = np.argsort(whole)
-                place, many = np.diff(whole[by], prepend=0) % max(1, len(raw)), np.array(many, np.int64)[by]
+                place, many = np.diff(whole[by], prepend=0) % max(1, len(raw)), many[by]
             body = [per, place, many]
             yield _row(block, -1, len(raw), _zipped(np.concatenate(body)), t.column("doc_id").to_pylist(), size)
             for b in range(n):
@@ -135,7 +151,7 @@ def _count(vocabulary, ids: bool):
     """Pieces of every distinct word of a bucket, once, and back to each block that has the word."""
 
     def run(t: pa.Table) -> pa.Table:
-        encoder = WordEncoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value)
         lists = [zstandard.decompress(x).decode().split(" ") for x in t.column("body").to_pylist()]
         number: dict[str, int] = {}
         which = [np.array([number.setdefault(w, len(number)) for w in some], np.int64) for some in lists]
