@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipegrid.llm.bwt import repeated
-from pipegrid.llm.common import buckets, spread, table, utf8, with_text
+from pipegrid.llm.common import spread, table, utf8, with_text
 from pipegrid.llm.neardup import _LETTER, _U, mix
 
 WIDTH, GRAM = 50, 25
@@ -36,6 +36,8 @@ _SLICE = 1 << 20
 _NULL = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 _SHARDS = 4
+#: Bytes of text of a block of documents, and of all documents per bucket of anchors.
+_BLOCK, _BUCKET = 6 << 20, 32 << 20
 _ANCHOR, _END = 255, 0  # no UTF-8 text holds byte 255; bytes are raised by one, so 0 is free for the end
 
 
@@ -69,7 +71,8 @@ class Entries:
         self.doc, self.first, self.count, self.place, anchor, context = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
         # distinct (anchor, context) in order; `which` is the number of each occurrence's entry
         self.smallest, self.many = np.zeros(0, np.int64), np.zeros(0, bool)
-        by = np.lexsort((context, anchor))
+        # by 40 bits of the anchor and 24 of the context; should these be equal for two contexts, an entry may occur twice
+        by = np.argsort(((anchor >> _U(24)) << _U(24)) | (context >> _U(40)), kind="stable")
         head = np.ones(len(by), bool)
         if len(by):
             head[1:] = (anchor[by][1:] != anchor[by][:-1]) | (context[by][1:] != context[by][:-1])
@@ -89,28 +92,57 @@ class Entries:
         n = len(data)
         sums = np.zeros(n + 1, _U)
         np.cumsum(_LETTER[data] * power[:n], out=sums[1:])
-        hashed = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-        # leftmost smallest hash of each run of `run` hashes, by doubling
+        hashed = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1] * _U(0xBF58476D1CE4E5B9)
+        hashed ^= hashed >> _U(29)
+        # the smallest hash of each run of `run` hashes, by doubling
         run, size = width - gram + 1, 1
-        low, place = hashed, np.arange(len(hashed), dtype=np.int32)
+        low = hashed
         while size < run:
             step = min(size, run - size)
-            right = low[step:] < low[:-step]
-            low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
+            low = np.minimum(low[step:], low[:-step])
             size += step
+        # pieces of windows with one smallest hash, within a document
         bounds = self.offsets[a : b + 1] - base
-        fits = np.maximum(np.diff(bounds) - width + 1, 0)
-        windows = spread(bounds[:-1], fits)
-        at = place[windows]
-        head = np.ones(len(windows), bool)
-        head[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)
-        starts = np.flatnonzero(head)
-        count = np.diff(np.append(starts, len(windows)))
-        first, anchor = windows[starts], at[starts].astype(np.int64)
+        head = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=head[1:])
+        ends = bounds[1:] - width + 1
+        head[bounds[:-1][bounds[:-1] < len(low)]] = True
+        head[ends[(ends >= 0) & (ends < len(low))]] = True
+        first = np.flatnonzero(head)
+        count = np.diff(np.append(first, len(low)))
+        doc = np.searchsorted(bounds, first, side="right") - 1
+        good = first < ends[doc]
+        first, count, doc = first[good], count[good], doc[good]
+        anchor = self._leftmost(hashed, first, low[first], run)
+        again = np.flatnonzero(first + count - 1 > anchor)
+        if len(again):  # a repeated string: the windows beyond its first place have a later one as their anchor
+            first, count, doc, anchor = self._repeated(hashed, low, run, first, count, doc, anchor, again)
+        doc = doc + a
         end = first + count - 1 + width
         context = mix((sums[end] - sums[first]) * inverse[first] + (count * 64 + anchor - first).astype(_U))
-        doc = a + np.repeat(np.arange(len(fits)), fits)[starts]
-        return doc, first + base, count, anchor + base, hashed[anchor], context
+        return doc, first + base, count, anchor + base, mix(hashed[anchor]), context
+
+    @staticmethod
+    def _leftmost(hashed: np.ndarray, first: np.ndarray, value: np.ndarray, run: int) -> np.ndarray:
+        """The first place of value in the run of hashes from each first."""
+        out = np.empty(len(first), np.int64)
+        for k in range(0, len(first), 1 << 15):
+            part = first[k : k + (1 << 15)]
+            out[k : k + (1 << 15)] = part + (hashed[part[:, None] + np.arange(run)] == value[k : k + (1 << 15), None]).argmax(axis=1)
+        return out
+
+    @staticmethod
+    def _repeated(hashed, low, run, first, count, doc, anchor, again):
+        """Pieces cut where the leftmost place of their smallest hash changes; again: the pieces in which it does."""
+        rest = np.setdiff1d(np.arange(len(first)), again)
+        windows, owner = spread(first[again], count[again]), np.repeat(doc[again], count[again])
+        piece = np.repeat(again, count[again])
+        place = Entries._leftmost(hashed, windows, low[windows], run)
+        head = np.ones(len(windows), bool)
+        head[1:] = (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])
+        starts = np.flatnonzero(head)
+        many = np.diff(np.append(starts, len(windows)))
+        return tuple(np.concatenate(x) for x in ((first[rest], windows[starts]), (count[rest], many), (doc[rest], owner[starts]), (anchor[rest], place[starts])))
 
     def bucket_edges(self, n: int) -> np.ndarray:
         """Where the entries of each of n buckets begin; buckets are equal ranges of the anchor's first 32 bits."""
@@ -154,7 +186,7 @@ def _tell(n: int):
     return run
 
 
-def _meet(n: int):
+def _meet(parts: int):
     """A bucket's verdicts to blocks (kind single), requests for bytes (kind want), and what it must remember (kind keep)."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -163,7 +195,11 @@ def _meet(n: int):
             step, context, low, many = _unzip(body, 4)
             got.append((np.cumsum(step), context, low, many > 0, np.full(len(step), source), np.arange(len(step))))
         anchor, context, low, many, source, index = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((low, context, anchor))
+        short = (anchor & 0xFFFFFFFF).astype(_U) << _U(32) | (context & 0xFFFFFFFF).astype(_U)
+        order = np.argsort(short, kind="stable")
+        same = short[order][1:] == short[order][:-1]
+        if (same & ((anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1]))).any():
+            order = np.lexsort((context, anchor))
         anchor, context, low, many, source, index = (x[order] for x in (anchor, context, low, many, source, index))
         fresh = np.ones(len(anchor), bool)
         fresh[1:] = anchor[1:] != anchor[:-1]
@@ -172,22 +208,22 @@ def _meet(n: int):
         new = fresh.copy()
         new[1:] |= context[1:] != context[:-1]
         several = np.add.reduceat(new.astype(np.int64), starts) > 1
-        lowest = low[np.flatnonzero(new)][np.cumsum(new) - 1]  # within equal contexts the first is the smallest
+        lowest = np.minimum.reduceat(low, np.flatnonzero(new))[np.cumsum(new) - 1]
         rows = []
         single = np.flatnonzero((shared & ~several)[group])
-        rows += _deal("single", bucket, n, source[single], index[single], lowest[single])
+        rows += _deal("single", bucket, source[single], index[single], lowest[single])
         open_ = np.flatnonzero((shared & several)[group])
         if len(open_):
             asked = open_[new[open_]]
-            rows += _deal("want", bucket, n, source[asked], index[asked])
+            rows += _deal("want", bucket, source[asked], index[asked])
             number = np.cumsum(new[open_]) - 1
-            rows.append((n + bucket, bucket, "keep", _zip(number, source[open_], index[open_], lowest[open_])))
+            rows.append((parts + bucket, bucket, "keep", _zip(number, source[open_], index[open_], lowest[open_], group[open_])))
         return _mail(rows)
 
     return run
 
 
-def _deal(kind: str, bucket: int, n: int, source: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+def _deal(kind: str, bucket: int, source: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
     """A row for each block (source) with its share of the arrays, in the order of the first."""
     order = np.lexsort((arrays[0], source))
     source, arrays = source[order], [x[order] for x in arrays]
@@ -195,7 +231,7 @@ def _deal(kind: str, bucket: int, n: int, source: np.ndarray, *arrays: np.ndarra
     return [(int(source[a]), bucket, kind, _zip(*(x[a:b] for x in arrays))) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
 
-def _send(n: int):
+def _send(n: int, parts: int):
     """A block's bytes for the contexts that buckets asked for."""
 
     def run(t: pa.Table, mail: pa.Table) -> pa.Table:
@@ -210,13 +246,13 @@ def _send(n: int):
             lens = e.count[some] + WIDTH - 1
             body = zstandard.compress(e.data[spread(e.first[some], lens)].tobytes(), 1)
             head = _zip(index, e.count[some], e.place[some] - e.first[some])
-            rows.append((n + r["source"], own, "bytes", len(head).to_bytes(4, "little") + head + body))
+            rows.append((parts + r["source"], own, "bytes", len(head).to_bytes(4, "little") + head + body))
         return _mail(rows)
 
     return run
 
 
-def _solve(n: int):
+def _solve():
     """Merge the transforms of a bucket's contexts, and tell each block the smallest doc_id of every window (kind runs)."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -224,7 +260,7 @@ def _solve(n: int):
         kept = [r for r in mail if r["kind"] == "keep"]
         if not kept:
             return _mail([])
-        number, source, index, low = _unzip(kept[0]["body"], 4)
+        number, source, index, low, group = _unzip(kept[0]["body"], 5)
         bucket = kept[0]["source"]
         at = {}
         for r in mail:
@@ -245,7 +281,7 @@ def _solve(n: int):
             lens = c[k] + WIDTH - 1
             rows = np.repeat(own, lens)
             texts_[rows, spread(np.zeros(len(lens), np.int64), lens)] = body[spread(starts[k], lens)]
-        name, lowest = solve_contexts(texts_, count, rel, doc)
+        lowest = solve_contexts(texts_, count, rel, doc, group[asked])
         # per context the runs of windows with the same smallest doc_id
         ends = np.cumsum(count)
         context = np.repeat(np.arange(len(count)), count)
@@ -258,17 +294,21 @@ def _solve(n: int):
         first = np.cumsum(runs) - runs
         many = runs[number]
         pick = spread(first[number], many)
-        return _mail(_deal("runs", bucket, n, np.repeat(source, many), np.repeat(index, many), offset[pick], length[pick], lowest[begin[pick]]))
+        return _mail(_deal("runs", bucket, np.repeat(source, many), np.repeat(index, many), offset[pick], length[pick], lowest[begin[pick]]))
 
     return run
 
 
-def solve_contexts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest doc of each window of each context (rows of bytes, with count windows and the anchor at rel)."""
+def solve_contexts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The smallest doc of each window of each context (rows of bytes, with count windows and the anchor at rel).
+
+    name: equal for equal anchors, one after the other; checked here, since it comes from a hash.
+    """
     n = len(count)
     place = np.arange(GRAM)
     grams = np.ascontiguousarray(texts_[np.arange(n)[:, None], rel[:, None] + place])
-    _, name = np.unique(grams.view([("", grams.dtype, GRAM)]).ravel().view(f"V{GRAM}"), return_inverse=True)
+    if ((name[1:] == name[:-1]) & (grams[1:] != grams[:-1]).any(axis=1)).any():
+        _, name = np.unique(grams, axis=0, return_inverse=True)
     lens = count + WIDTH - GRAM
     column = np.arange(texts_.shape[1])
     keep = (column < (count + WIDTH - 1)[:, None]) & ~((column > rel[:, None]) & (column < (rel + GRAM)[:, None]))
@@ -297,7 +337,7 @@ def solve_contexts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc:
     head[1:] = (blocks_[1:] != blocks_[:-1]) | (name[string][1:] != name[string][:-1])
     starts = np.flatnonzero(head)
     lowest[begin[string] + offset] = doc[string][starts][np.cumsum(head) - 1]
-    return name, lowest
+    return lowest
 
 
 def _covered(t: pa.Table, mail: pa.Table, n: int) -> tuple[Entries, np.ndarray]:
@@ -361,14 +401,15 @@ def _rewrite(n: int, names: list[str]):
 
 def _judged(docs: DataFrame, last, schema) -> DataFrame:
     """Every block of docs (doc_id, text, part and more) with the verdicts of all buckets, through last."""
-    n = buckets(docs)
-    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    n, parts = max(4, -(-size // _BUCKET)), max(8, -(-size // _BLOCK))
+    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     blocks = plain.groupBy("part")
     told = blocks.applyInArrow(_tell(n), _MAIL)
-    met = told.groupBy("target").applyInArrow(_meet(n), _MAIL)
+    met = told.groupBy("target").applyInArrow(_meet(parts), _MAIL)
     fresh = lambda df: df.select(F.col("target").alias("to"), F.col("source").alias("source"), F.col("kind").alias("kind"), F.col("body").alias("body"))
-    sent = blocks.cogroup(fresh(met).groupBy("to")).applyInArrow(_send(n), _MAIL)
-    solved = met.where("kind = 'keep'").unionByName(sent).groupBy("target").applyInArrow(_solve(n), _MAIL)
+    sent = blocks.cogroup(fresh(met).groupBy("to")).applyInArrow(_send(n, parts), _MAIL)
+    solved = met.where("kind = 'keep'").unionByName(sent).groupBy("target").applyInArrow(_solve(), _MAIL)
     back = met.where("kind = 'single'").unionByName(solved)
     return blocks.cogroup(fresh(back).groupBy("to")).applyInArrow(last(n), schema)
 
