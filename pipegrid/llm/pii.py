@@ -150,7 +150,8 @@ def _free(found: list[tuple], base: list[tuple]) -> list[tuple]:
 def _candidates(text: str) -> tuple[list[tuple], list[tuple]]:
     base = base_candidates(text)
     failed = [(k, s, e) for k, s, e, ok in base if not ok]
-    found = [*failed, *_more(text)]
+    more = _more(text)
+    found = [*(x for x in more if x[0] != "number"), *failed, *(x for x in more if x[0] == "number")]
     return base, [(k, s, e, _features(text, k, s, e, False)) for k, s, e in _free(found, base)] if found else []
 
 
