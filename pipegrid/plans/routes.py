@@ -51,12 +51,12 @@ def rt_tube(spark, sf):
 
 @query("rt_sequential")
 def rt_sequential(spark, sf):
-    return _digest(_routes(spark, sf, "sequential", Plan(WEIGHTS, most=MOST)))
+    return _digest(_routes(spark, sf, "sequential", Plan(WEIGHTS, most=MOST // 4)))
 
 
 @query("rt_ripup")
 def rt_ripup(spark, sf):
-    return _digest(_routes(spark, sf, "ripup", Plan(WEIGHTS, most=MOST // 4, rounds=1, most_blockers=2)))
+    return _digest(_routes(spark, sf, "ripup", Plan(WEIGHTS, most=MOST // 10, rounds=1, most_blockers=2)))
 
 
 @query("rt_subset")
