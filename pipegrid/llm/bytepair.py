@@ -130,10 +130,13 @@ class MergeReplay:
             if not len(at):
                 continue
             gone = after[at]
-            symbol[at], symbol[gone] = r, -1
             nxt = after[gone]
-            after[at] = nxt
             has = nxt >= 0
+            # what a merge makes with its right neighbour before that merges in turn
+            early = self._rank(np.full(int(has.sum()), r), symbol[nxt[has]])
+            odd.update(word[at[has][(early >= 0) & (early < r)]].tolist())
+            symbol[at], symbol[gone] = r, -1
+            after[at] = nxt
             before[nxt[has]] = at[has]
             left = before[at]
             new = np.unique(np.concatenate([at[has], left[left >= 0]]))
