@@ -66,6 +66,10 @@ def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         # nodes whose ancestor is done by now have depth under 2 * step
         near = done.select("tree", F.col("node").alias("up"), "root", "depth", F.col("sum").alias("above"))
         now = reach.join(near.where(F.col("depth") < step), ["tree", "up"]).select("tree", "node", "root", (F.col("depth") + step).alias("depth"), (F.col("gain") + F.col("above")).alias("sum"))
+        now = cut(now)
+        if now.isEmpty():  # a deeper node would have an ancestor that is done by now: what is left goes round in circles
+            tables.pop()
+            break
         done = cut(done.unionByName(now))
         further = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"))
         reach = cut(reach.join(further, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")))
