@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 A text's terms are its words (runs of ASCII letters and digits and of bytes above 127, letters of Latin-1 lower-cased) and the first
-five bytes of longer words. Examples are a sample of the labelled documents, at most ``most_toxic`` and ``most_clean`` of each
+four and six bytes of longer words. Examples are a sample of the labelled documents, at most ``most_toxic`` and ``most_clean`` of each
 label, those with the smallest hashes of their doc_id. The terms that tell the labels apart (chi-square over the examples) are
 the vocabulary; their document frequencies are counted over the whole corpus. A text's vector is TF-IDF over the vocabulary, of
 length one, and its evidence the k examples of the largest exact cosine.
@@ -29,8 +29,8 @@ from pipegrid.llm.neardup import _LETTER, _LOWER, _U, mix
 
 _BLOCK = 2 << 20
 _OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_PREFIX = 5
-_TAG = _U(0xD1B54A32D192ED03)
+_PREFIXES = (4, 6)
+_TAG = 0xD1B54A32D192ED03
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +54,12 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sizes = np.add.reduceat((~outside).astype(np.int64), starts)
     text = np.searchsorted(offsets, starts, side="right") - 1
     words = mix(np.add.reduceat(value, starts))
-    value[place >= _PREFIX] = 0
-    long = sizes > _PREFIX
-    return np.concatenate([words, mix(np.add.reduceat(value, starts) ^ _TAG)[long]]), np.concatenate([text, text[long]])
+    out = [(words, text)]
+    for size in reversed(_PREFIXES):
+        value[place >= size] = 0
+        long = sizes > size
+        out.append((mix(np.add.reduceat(value, starts) ^ _U(_TAG * size % (1 << 64)))[long], text[long]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def counted(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +224,7 @@ class Model:
         return np.where(votes[:, 2] > 0, p, self.lone), found
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_terms: int = 2000, least: float = 15.0, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_terms: int = 2000, least: float = 25.0, k: int = 15) -> Model:
     """A model from the labelled rows (doc_id, toxic) that are not held out; see the module for what the bounds bound."""
     told = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     told = cut(told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
