@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from pipegrid.llm.common import cut
 
 
+_SHARE = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label for every node of links (a, b); a component's nodes share one label, one of its nodes.
 
     In each round every node points to its smallest neighbour or itself, pointers are shortened, and the links between
     different labels form the next round's smaller graph. Null and circular links have no effect.
     """
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    # a partition for every so many links: small graphs take few tasks and files, whatever the session's partitions
+    few = lambda df, n: cut(df.coalesce(1 + n // _SHARE))
+    tidy = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    links = cut(links.select("a", "b"))
+    n = links.count()
+    edges = few(tidy(links.coalesce(1 + n // _SHARE)), n)
     label = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    while not edges.isEmpty():
+    while n := edges.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up"))
+        up = few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("up")), n)
         for _ in range(2):
             above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
             up = up.join(above, "up").select("node", F.col("top").alias("up"))
-        up = cut(up)
-        label = cut(label.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        up = few(up, n)
+        label = label.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         for c in ("a", "b"):
             edges = edges.join(up.withColumnRenamed("node", c), c).drop(c).withColumnRenamed("up", c)
-        edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    return label
+        edges = few(tidy(edges), n)
+    return cut(label)

@@ -6,8 +6,8 @@ bins hold a value, and after as many rounds as there are bins each further round
 every coordinate fills whatever the size of the set, and the share of agreeing coordinates concentrates about the similarity.
 Bands of coordinates give candidate buckets. Within a bucket the members are compared with a centre (first per partition, then
 among the partitions' centres, so that a bucket of any size costs as many comparisons as it has members); all candidates
-are confirmed on the full sets. Where the members of a bucket then still lie in several components, they meet the bucket's hub
-and, after that, the members of other components with which they share one of their rarest shingles (which any link takes).
+are confirmed on the full sets. Where the members of a bucket then still lie in several components, they meet the members of
+other components with which they share one of their rarest shingles (which any link takes).
 With 48 bands of 5 coordinates a pair of similarity 0.75 misses all buckets with probability 2.3e-6, which
 is the only way to lose a link.
 
@@ -321,8 +321,8 @@ def _confirm_block(least: int):
     return run
 
 
-def across_components(sized: DataFrame, bodies: DataFrame, least: int, group: int = 1024) -> DataFrame:
-    """The links (a, b) that join components, of the members (key, c, n, label) of buckets that lie in several.
+def across_components(sized: DataFrame, bodies: DataFrame, least: int, group: int = 1024) -> DataFrame | None:
+    """The links (a, b) that join components (None if there can be none), of the members (key, c, n, label) of buckets that lie in several.
 
     Sets of sizes n and m have a similarity of least per cent only if they share least * (n + m) / (100 + least) shingles. So
     with m the smallest size in a member's buckets (at least least per cent of n) it may lack but few of its shingles, and
@@ -332,7 +332,10 @@ def across_components(sized: DataFrame, bodies: DataFrame, least: int, group: in
     mixed = sized.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("n").alias("m")).where("a <> b").select("key", "m")
     size = F.greatest("m", F.ceil(F.col("n") * least / 100))
     need = cut(sized.join(mixed, "key").groupBy("c").agg(F.first("label").alias("label"), F.min(F.ceil((F.col("n") + size) * least / (100 + least))).alias("enough")))
-    parts = max(1, -(-need.count() // group))
+    many = need.count()
+    if not many:
+        return None
+    parts = -(-many // group)
     opened = cut(need.join(bodies, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.lit(parts))))
     told = cut(opened.groupBy("block").applyInArrow(_shares(buckets(sized)), _SHARE))
     met = told.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, _SHARE)
@@ -358,30 +361,30 @@ def near_duplicates(docs: DataFrame, least: int = 75) -> DataFrame:
     ends = cut(local.where("not local").select("key", "c").repartition("key").mapInArrow(_across, _BUCKET))
     members = local.where("local").unionByName(ends)
     pairs = cut(members.where("c <> centre").select("c", "centre").distinct())
+    if pairs.isEmpty():
+        return _answer(rows, classes, None)
     needed = pairs.select(F.explode(F.array("c", "centre")).alias("c")).distinct().join(classes.select("c", "m"), "c")
     bodies = plain.join(needed.withColumnRenamed("m", "doc_id"), "doc_id").select("text", "c").mapInArrow(_body, "c long, body binary")
     bodies = cut(bodies.groupBy("c").agg(F.first("body").alias("body")))
     links = cut(confirmed(pairs, bodies, least))
     label = components(links)
 
-    # the members of a bucket that are in another component than its hub, the member in the largest buckets, meet the hub
-    sizes = cut(members.select("key", "c").distinct().join(classes.select("c", "n"), "c"))
-    weight = sizes.join(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("many")), "key").groupBy("c").agg(F.sum("many").alias("weight"))
-    labelled = lambda: sizes.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
-    known = labelled()
-    hubs = known.join(weight, "c").groupBy("key").agg(F.max_by(F.struct("c", "label"), F.struct("weight", "c")).alias("hub"))
-    rest = known.join(hubs, "key").where("label <> hub.label").select("c", F.col("hub.c").alias("centre")).distinct()
-    rest = cut(rest.join(pairs, ["c", "centre"], "left_anti"))
-    links = cut(links.unionByName(confirmed(rest, bodies, least)))
-    label = components(links)
     # what may still have a link meets the members of other components
-    last = cut(across_components(labelled(), bodies, least))
-    if not last.isEmpty():
+    sizes = members.select("key", "c").distinct().join(classes.select("c", "n"), "c")
+    labelled = sizes.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("label", "c").alias("label"))
+    last = across_components(cut(labelled), bodies, least)
+    if last is not None and not (last := cut(last)).isEmpty():
         label = components(links.unionByName(last))
+    return _answer(rows, classes, label)
+
 
-    named = classes.select("c", "m").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    lowest = named.groupBy("label").agg(F.min("m").alias("low"))
-    found = named.join(lowest, "label").select("c", "low")
+def _answer(rows: DataFrame, classes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The result, of the rows by class, the classes' smallest doc_ids and the components' labels (None: no links)."""
+    found = classes.select("c", F.col("m").alias("low"))
+    if label is not None:
+        named = classes.select("c", "m").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        lowest = named.groupBy("label").agg(F.min("m").alias("low"))
+        found = named.join(lowest, "label").select("c", "low")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c")).join(found, "c", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
