@@ -15,8 +15,8 @@ from pipegrid.sources import derived as D
 
 #: The weights of the derived scene, on its 100 mm cells.
 WEIGHTS = Params(cell_mm=D.CELL_MM, w_turn=500.0, w_clear=10.0, clearance_radius=2)
-#: Expansions after which a route of the derived scene is given up.
-MOST = 20_000
+#: Expansions after which a route is given up (None: never), rounds and blockers of rip-up: the reference's own defaults.
+MOST, ROUNDS, BLOCKERS = None, 10, 4
 
 
 def _occupied(spark, sf, without_passing: bool = False):
@@ -51,12 +51,12 @@ def rt_tube(spark, sf):
 
 @query("rt_sequential")
 def rt_sequential(spark, sf):
-    return _digest(_routes(spark, sf, "sequential", Plan(WEIGHTS, most=MOST // 4)))
+    return _digest(_routes(spark, sf, "sequential", Plan(WEIGHTS, most=MOST)))
 
 
 @query("rt_ripup")
 def rt_ripup(spark, sf):
-    return _digest(_routes(spark, sf, "ripup", Plan(WEIGHTS, most=MOST // 10, rounds=1, most_blockers=2)))
+    return _digest(_routes(spark, sf, "ripup", Plan(WEIGHTS, most=MOST, rounds=ROUNDS, most_blockers=BLOCKERS)))
 
 
 @query("rt_subset")
