@@ -2,8 +2,9 @@
 
 A text's terms are its words (runs of ASCII letters and digits and of bytes above 127, letters of Latin-1 lower-cased) and the first
 four and six bytes of longer words. Examples are a sample of the labelled documents, at most ``most_toxic`` and ``most_clean`` of each
-label, those with the smallest hashes of their doc_id. The terms that tell the labels apart (chi-square over the examples) are
-the vocabulary; their document frequencies are counted over the whole corpus. A text's vector is TF-IDF over the vocabulary, of
+label, those with the smallest hashes of their doc_id. The ``most_terms`` terms of at least three examples that tell the labels
+apart best (by rank of chi-square over the examples, of whatever size) are the vocabulary; their document frequencies are counted
+over the whole corpus. A text's vector is TF-IDF over the vocabulary, of
 length one, and its evidence the k examples of the largest exact cosine.
 
 The examples stand in an inverted index by blocks of 64. For each term and block the largest weight is known, which bounds a
@@ -224,7 +225,7 @@ class Model:
         return np.where(votes[:, 2] > 0, p, self.lone), found
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_terms: int = 2000, least: float = 25.0, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_terms: int = 2000, least: float = 0.0, k: int = 15) -> Model:
     """A model from the labelled rows (doc_id, toxic) that are not held out; see the module for what the bounds bound."""
     told = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     told = cut(told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))

@@ -117,6 +117,15 @@ def test_toxicity(spark, docs, none):
     assert toxic.score_toxicity(none, model).collect() == []
 
 
+def test_toxicity_of_few_examples(spark):
+    """Chi-square is at most the number of examples, so a few of them must do with what they have."""
+    texts, labels = labelled(spark)
+    own = spark.createDataFrame(rows(texts[:30]), SCHEMA)
+    model = toxic.train(own, labels)
+    assert 6 <= len(model.index.ids) < 25 and len(model.index.vocabulary) > 0
+    assert len({r["score"] for r in toxic.score_toxicity(own, model).collect()}) > 1
+
+
 def plain_base(text):
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
