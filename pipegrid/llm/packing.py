@@ -55,7 +55,7 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
             full = min(count, rest // each)
             part = rest - full * each if full < count else 0
             rows.append((rank, first, each, capacity - left))
-            put(left - full and left - each * length, first, full)
+            put(left - each * length, first, full)
             if part:
                 put(left - part * length, first + full, 1)
             put(left, first + full + bool(part), count - full - bool(part))
