@@ -7,7 +7,7 @@ from pipegrid.session import ship
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (chat.op1_chat_format, exactdup.op2_suffix_dedup, imatch.op3_imatch, neardup, packing.op4_packing, topk.op5_top_k, toxic.op6_toxicity, tokens.op7_token_counts, pii.op8_pii, neardup.op9_minhash, bytepair.op10_byte_bpe)}
+    found = {f.__name__: f for f in (chat.op1_chat_format, exactdup.op2_suffix_dedup, imatch.op3_imatch, packing.op4_packing, topk.op5_top_k, toxic.op6_toxicity, tokens.op7_token_counts, pii.op8_pii, neardup.op9_minhash, bytepair.op10_byte_bpe)}
 
     def shipped(f):
         def run(spark, sf_dir):
