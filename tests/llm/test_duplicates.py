@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,11 +71,36 @@ def test_sketches_tell_similarity():
         assert (neardup.sketches([np.unique(both)])[0] == s[0]).all()
 
 
-def test_components(spark):
-    links = [(1, 2), (2, 3), (7, 7), (9, 8), (4, 5), (5, 6), (6, 4), *((n, n + 1) for n in range(20, 60))]
-    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert len(got) == 8 + 41 and len(set(got.values())) == 4
-    assert got[1] == got[3] and got[20] == got[60] and got[4] == got[6] != got[8]
+def grouped(links):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            root[find(a)] = find(b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("share", [100_000, 150])
+def test_components(spark, share):
+    """Chains up, down and shuffled, stars round the largest and the smallest node, circles, loops and nulls."""
+    r = random.Random(4)
+    mixed = r.sample(range(10_000, 12_000), 800)
+    links = [(1, 2), (2, 3), (7, 7), (9, 8), (4, 5), (5, 6), (6, 4), (None, 1), (2, None), *((n, n + 1) for n in range(20, 1020)), *((5000 - n, 5001 - n) for n in range(1000))]
+    links += [*zip(mixed, mixed[1:], strict=False), *((9000, n) for n in range(6000, 6300)), *((13_000, n) for n in range(13_001, 13_300)), (1, 2), (2, 1)]
+    links += [(r.randrange(20_000, 20_500), r.randrange(20_000, 20_500)) for _ in range(300)]
+    want = grouped(links)
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(links, "a long, b long"), share).collect()}
+    assert set(got) == set(want)
+    pairs = {(want[n], got[n]) for n in got}
+    assert len(pairs) == len(set(want.values())) == len(set(got.values()))
+    assert graph.components(spark.createDataFrame([], "a long, b long"), share).collect() == []
 
 
 def removed(texts):
