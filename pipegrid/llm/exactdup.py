@@ -6,11 +6,13 @@ context (at most 2 * width - gram bytes), and repeated windows can only lie in c
 documents. That splits the corpus into independent buckets of anchors:
 
 1. each block of documents tells each bucket its distinct (anchor, context hash) with the smallest doc_id;
-2. a bucket drops anchors of a single document. An anchor whose contexts are all equal is one string, with nothing to merge. Of
-   the others the bucket asks one block for the bytes of each distinct context;
+2. a bucket drops anchors of a single document. An anchor whose contexts are all equal (by 40 bits of the anchor's hash and 64
+   of the context's) is one string, with nothing to merge. Of the others the bucket asks one block for the bytes of each
+   distinct context;
 3. the bucket deals its contexts (the anchor as a single symbol) to shards, builds the shards' transforms and merges them by
    interleave refinement; the blocks of suffixes with a common prefix of a window's length are the repeated intervals, and each
-   gives the smallest doc_id in which the window occurs;
+   gives the smallest doc_id in which the window occurs. Whole anchors are merged together, up to a number of contexts at
+   once; the contexts of an anchor that has more are split into windows, dealt by the anchor's place in them and by hash;
 4. the blocks of documents get these back and remove every byte that a window covers which occurs in a smaller doc_id.
 
 A passage or document that a third of all rows share is one context per block and bucket, so hot groups are aggregated before
@@ -32,12 +34,14 @@ from pipegrid.llm.common import spread, table, utf8, with_text
 from pipegrid.llm.neardup import _LETTER, _U, mix
 
 WIDTH, GRAM = 50, 25
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _NULL = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 _SHARDS = 4
 #: Bytes of text of a block of documents, and of all documents per bucket of anchors.
-_BLOCK, _BUCKET = 6 << 20, 32 << 20
+_BLOCK, _BUCKET = 4 << 20, 16 << 20
+#: Contexts whose transforms are merged at once.
+_MERGE = 32_000
 _ANCHOR, _END = 255, 0  # no UTF-8 text holds byte 255; bytes are raised by one, so 0 is free for the end
 
 
@@ -175,8 +179,8 @@ def _tell(n: int):
     def run(t: pa.Table) -> pa.Table:
         e, own = Entries(t), t.column("part")[0].as_py()
         edges = e.bucket_edges(n).tolist()
-        # 40 bits of the anchor, as steps, and 48 of the context: more anchors than one under a name do no harm
-        anchor, context = (e.anchor >> _U(24)).astype(np.int64), (e.context >> _U(16)).astype(np.int64)
+        # 40 bits of the anchor, as steps, and the whole context: more anchors than one under a name do no harm
+        anchor, context = (e.anchor >> _U(24)).astype(np.int64), e.context.view(np.int64)
         rows = []
         for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if a < b:
@@ -281,7 +285,7 @@ def _solve():
             lens = c[k] + WIDTH - 1
             rows = np.repeat(own, lens)
             texts_[rows, spread(np.zeros(len(lens), np.int64), lens)] = body[spread(starts[k], lens)]
-        lowest = solve_contexts(texts_, count, rel, doc, group[asked])
+        lowest = solve_parts(texts_, count, rel, doc, group[asked])
         # per context the runs of windows with the same smallest doc_id
         ends = np.cumsum(count)
         context = np.repeat(np.arange(len(count)), count)
@@ -299,6 +303,34 @@ def _solve():
     return run
 
 
+def solve_parts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc: np.ndarray, name: np.ndarray, most: int = _MERGE) -> np.ndarray:
+    """solve_contexts of about most contexts at a time."""
+    out = np.empty(int(count.sum()), np.int64)
+    begin = np.cumsum(count) - count
+    starts = np.flatnonzero(np.diff(name, prepend=-1))
+    sizes = np.diff(np.append(starts, len(name)))
+    few = sizes <= most
+    part = np.repeat((np.cumsum(np.where(few, sizes, 0)) - 1) // most, sizes)
+    usual = np.flatnonzero(np.repeat(few, sizes))
+    edges = np.flatnonzero(np.diff(part[usual], prepend=-1, append=-2))
+    for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        own = usual[a:b]
+        out[spread(begin[own], count[own])] = solve_contexts(texts_[own], count[own], rel[own], doc[own], name[own])
+    for a, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+        group = np.arange(a, a + size)
+        for place in range(WIDTH - GRAM + 1):  # equal windows have the anchor at the same place
+            at = rel[group] - place
+            own = group[(at >= 0) & (at < count[group])]
+            at = rel[own] - place
+            windows = texts_[own[:, None], at[:, None] + np.arange(WIDTH)]
+            deal = (mix((_LETTER[windows] * _powers(WIDTH)[0]).sum(axis=1, dtype=_U)) % _U(max(1, -(-len(own) // most)))).astype(np.int64)
+            for k in np.unique(deal):
+                x = np.flatnonzero(deal == k)
+                one = np.ones(len(x), np.int64)
+                out[begin[own[x]] + at[x]] = solve_contexts(windows[x], one, one * 0 + place, doc[own[x]], one)
+    return out
+
+
 def solve_contexts(texts_: np.ndarray, count: np.ndarray, rel: np.ndarray, doc: np.ndarray, name: np.ndarray) -> np.ndarray:
     """The smallest doc of each window of each context (rows of bytes, with count windows and the anchor at rel).
 
@@ -367,7 +399,7 @@ def _covered(t: pa.Table, mail: pa.Table, n: int) -> tuple[Entries, np.ndarray]:
         begin = e.first[occurrence] + offset[run]
         np.add.at(cover, begin, 1)
         np.subtract.at(cover, begin + length[run] + WIDTH - 1, 1)
-    return e, np.cumsum(cover[:-1]) > 0
+    return e, np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def _remove(n: int):

@@ -31,7 +31,7 @@ from pipegrid.llm.common import blocks, buckets, cut, spread, table, texts, utf8
 from pipegrid.llm.graph import components
 
 BINS, ROWS = 240, 5
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -2,18 +2,19 @@
 
 A text's terms are its words (runs of ASCII letters and digits and of bytes above 127, letters of Latin-1 lower-cased) and the first
 four and six bytes of longer words. Examples are a sample of the labelled documents, at most ``most_toxic`` and ``most_clean`` of each
-label, those with the smallest hashes of their doc_id. The ``most_terms`` terms of at least three examples that tell the labels
-apart best (by rank of chi-square over the examples, of whatever size) are the vocabulary; their document frequencies are counted
-over the whole corpus. A text's vector is TF-IDF over the vocabulary, of
-length one, and its evidence the k examples of the largest exact cosine.
+label, those with the smallest hashes of their doc_id. The vocabulary holds the terms of at least three examples that tell the
+labels apart best, by rank of chi-square over the examples: as many as there are examples (more would tell noise apart), at
+most ``most_terms``. Their document frequencies are counted over the whole corpus. A text's vector is TF-IDF over the
+vocabulary, of length one, and its evidence the k examples of the largest exact cosine.
 
 The examples stand in an inverted index by blocks of 64. For each term and block the largest weight is known, which bounds a
-text's cosine with any example of a block. The blocks with the highest bounds are scored first; then only blocks whose bound
-reaches the k-th best cosine, so the result is exact. Votes are weighted by cosine and calibrated on the examples themselves
+text's cosine with any example of a block (summed over the text's own terms, so the vocabulary's size costs nothing). The
+blocks with the highest bounds are scored first; then only blocks whose bound reaches the k-th best cosine, so the result is exact. Votes are weighted by cosine and calibrated on the examples themselves
 (each scored without itself) by a logistic regression that weighs labels as they occur among all labelled rows.
 
 Null text is empty. A text without a vocabulary term has the smoothed share of toxic ones among such examples as its
-score. Labels of a doc_id that repeat are averaged (half counts as toxic); null labels are left out. Without examples every
+score. Labels of a doc_id that repeat are averaged (half counts as toxic); null labels are left out; of the texts of
+an example's doc_id that repeats the smallest is the example. Without examples every
 score is 0. A null doc_id is scored and not held out. Repeated rows stay repeated, equal texts get equal scores, an empty
 table gives an empty table, and columns besides doc_id and text are ignored: the score depends on the text alone.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pipegrid.llm.common import blocks, cut, rewrite, spread, table, texts, utf8
 from pipegrid.llm.neardup import _LETTER, _LOWER, _U, mix
 
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 _OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PREFIXES = (4, 6)
 _TAG = 0xD1B54A32D192ED03
@@ -124,9 +125,12 @@ class Index:
         """(text, example, cosine) of the k nearest examples of positive cosine of n texts, best first, ties by place."""
         many = np.bincount(row, minlength=n)
         first = np.cumsum(many) - many
-        dense = np.zeros((n, len(self.vocabulary)))
-        dense[row, term] = weight
-        bound = dense @ self.most
+        bound = np.zeros((n, self.n_blocks))
+        some = np.flatnonzero(many)
+        for a in range(0, len(some), 256):  # sums over a text's own terms alone, whatever the vocabulary's size
+            part = some[a : a + 256]
+            x, y = first[part[0]], first[part[-1]] + many[part[-1]]
+            bound[part] = np.add.reduceat(self.most[term[x:y]] * weight[x:y, None], first[part] - x, axis=0)
         rank = np.argsort(-bound, axis=1, kind="stable")
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         least = np.zeros(n)
@@ -233,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     chosen = [told.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
     sample = F.broadcast(cut(chosen[0].unionByName(chosen[1])))  # at most most_toxic + most_clean rows
     own = texts(docs).join(sample, "doc_id").select("doc_id", "text", "toxic")
-    own = cut(own.dropDuplicates(["doc_id", "text"]).mapInArrow(_features(None), "doc_id long, toxic int, terms array<long>, many array<long>"))
+    # of an id that repeats with several texts the first in order counts, so that no id is more than one example
+    own = cut(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic").mapInArrow(_features(None), "doc_id long, toxic int, terms array<long>, many array<long>"))
     size = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     found = own.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("ab"))
@@ -241,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     c, d = n1 - a, n0 - b
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(n1, 1))) * F.lit(float(max(n0, 1))))
     picked = found.where("ab >= 3").withColumn("chi", F.when(c + d > 0, chi).otherwise(0.0)).where(F.col("chi") >= least)
-    vocabulary = np.array(sorted(r["term"] & ((1 << 64) - 1) for r in picked.orderBy(F.desc("chi"), "term").limit(most_terms).collect()), dtype=_U)
+    vocabulary = np.array(sorted(r["term"] & ((1 << 64) - 1) for r in picked.orderBy(F.desc("chi"), "term").limit(min(most_terms, n1 + n0)).collect()), dtype=_U)
     df = np.zeros(len(vocabulary))
     plain = texts(docs)
     for r in plain.mapInArrow(_frequencies(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
@@ -291,7 +296,7 @@ def _apply(model):
 
     def run(batches):
         own = model.value
-        for t in blocks(batches, _BLOCK // 2):
+        for t in blocks(batches, _BLOCK):
             score, (i, example, cosine) = own.score(*utf8(t.column("text")))
             ends = np.searchsorted(i, np.arange(t.num_rows + 1))
             fields = [pa.array(own.index.ids[example]), pa.array(cosine), pa.array(own.index.labels[example].astype(np.int32))]
