@@ -51,6 +51,10 @@ _CUES = {
     "address": ("mail", "contact", "kontakt", "write"),
 }
 _COUNTER = ("version", "license", "licence", "isbn", "issn", "doi", "commit", "sha", "md5", "http", "page", "chapter", "rfc", "section")
+# How well-known access keys and tokens begin.
+_KEY = re.compile("AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|eyJ")
+
+_WORDS = re.compile("(?:[A-Za-z]++|[0-9]++)(?:[-_/+=]++(?:[A-Za-z]++|[0-9]++))*+")
 
 
 def luhn(digits: str) -> bool:
@@ -117,10 +121,12 @@ def _features(text: str, kind: str, start: int, end: int, checked: bool) -> tupl
     """Votes (1 for, 0 none, -1 against) of the labelers and further categorical features of a candidate."""
     own, before, after = text[start:end], text[max(0, start - 24) : start].lower(), text[end : end + 8]
     n_digits = sum("0" <= c <= "9" for c in own)
-    size = min(4, len(own) // 10)
+    size, named = min(4, len(own) // 10), False
     if kind == "secret":
-        letters = len(set(own.lower()))
-        regex = 1 if len(own) in (32, 40, 64) or letters >= 12 else -1 if letters < 8 else 0
+        name, _, value = own.rpartition("=")
+        named, before = bool(name), before + name.lower()  # name=value is one string
+        letters = len(set(value.lower()))
+        regex = 1 if _KEY.match(value) or len(value) in (32, 40, 64) or named and letters >= 8 else -1 if letters < 8 or _WORDS.fullmatch(value) else 0
     elif kind == "number":
         regex = 1 if n_digits in (9, 10, 11) and len(own) > n_digits else -1
     elif kind == "address":
@@ -130,7 +136,7 @@ def _features(text: str, kind: str, start: int, end: int, checked: bool) -> tupl
     gazetteer = 1 if any(w in before for w in _CUES[kind]) else 0
     counter = -1 if any(w in before for w in _COUNTER) else 0
     last = before.rstrip()[-1:]
-    context = 1 if last and last in "=:\"'" else -1 if text[start - 1 : start].isalnum() or after[:1].isalnum() else 0
+    context = 1 if named or last and last in "=:\"'" else -1 if text[start - 1 : start].isalnum() or after[:1].isalnum() else 0
     around = text[max(0, start - 1) : start] + after[:1]
     shape = 1 if len(around) == 2 and not around[0].isalnum() and not around[0].isspace() and not around[1].isalnum() and not around[1].isspace() else -1 if any(map(str.isalnum, around)) else 0
     return (kind, regex, gazetteer, counter, context, shape, size, min(3, 4 * n_digits // max(1, len(own))))
@@ -138,11 +144,14 @@ def _features(text: str, kind: str, start: int, end: int, checked: bool) -> tupl
 
 def _free(found: list[tuple], base: list[tuple]) -> list[tuple]:
     """Those of found (in order of preference) that overlap neither base spans nor each other."""
-    taken = sorted((s, e) for _, s, e, ok in base if ok)
+    taken = bytearray(max(x[2] for x in [*found, *base]))  # a mark for each character up to the last span's end
+    for _, s, e, ok in base:
+        if ok:
+            taken[s:e] = b"\1" * (e - s)
     out = []
     for x in found:
-        if all(x[2] <= s or x[1] >= e for s, e in taken):
-            taken.append((x[1], x[2]))
+        if taken.find(1, x[1], x[2]) < 0:
+            taken[x[1] : x[2]] = b"\1" * (x[2] - x[1])
             out.append(x)
     return out
 
@@ -169,15 +178,17 @@ def _observe(batches):
 
 
 _LABELERS = 5
+#: What the first guess at the reliability of a kind's own check is worth, as a share of the kind's candidates.
+_HELD = 0.1
 
 
 def reliabilities(votes: dict[tuple, int], rounds: int = 60) -> tuple[float, np.ndarray]:
     """The share of true candidates and P(vote | truth) as an array (truth, labeler, vote + 1), by expectation-maximisation."""
     patterns, n = np.array(list(votes), dtype=int), np.array(list(votes.values()), dtype=float)
     prior = 0.5
-    # what is held before any data: the kind's own check (labeler 0) weighs as much as all candidates, the others little
+    # what is held before any data: it says which class is which, and the data, ten times as many for the check, say the rest
     held = np.array([[[2.0, 1.0, 0.5]] * _LABELERS, [[0.5, 1.0, 2.0]] * _LABELERS])
-    held[:, 0] = np.array([[0.9, 0.09, 0.01], [0.01, 0.19, 0.8]]) * max(4.0, n.sum())
+    held[:, 0] = np.array([[0.9, 0.09, 0.01], [0.01, 0.19, 0.8]]) * max(4.0, _HELD * n.sum())
     table_ = held / held.sum(axis=2, keepdims=True)
     for _ in range(rounds):
         p = _posterior(patterns, prior, table_)
@@ -282,4 +293,5 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(many(k).alias(f"n_{k}") for k in BASE),
         F.sha2(F.array_join(F.transform(base, one), ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

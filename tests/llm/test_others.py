@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -157,6 +158,40 @@ def test_personal_data(spark, docs, none, texts):
     assert pii.find_spans(none).collect() == [] and pii.observe(none) == {}
 
 
+def test_secrets(spark):
+    """Keys of a known form and named values are found without a cue before them; long words with digits are not."""
+    r = random.Random(9)
+    drawn = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    upper, hexed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
+    made = [lambda: "AKIA" + drawn(upper, 16), lambda: "password=" + drawn(hexed, 18), lambda: 'token = "' + drawn(hexed, 40) + '"', lambda: "section-1-of-the-chapter-2-and-so-on"]
+    texts_ = [(n, f"{passage(n, 8)} {made[n % 4]()} {passage(n + 500, 8)}") for n in range(200)]
+    got = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in pii.find_spans(spark.createDataFrame(rows(texts_), SCHEMA)).collect()}
+    assert all((got[n] == ["secret"]) == (n % 4 < 3) for n in got), Counter((n % 4, tuple(k)) for n, k in got.items())
+
+
+def test_personal_data_in_long_texts():
+    """A text of a million digits, and one of very many numbers: each in a few seconds."""
+    for text, kinds in (("7" * 1_000_000, {"card", "number"}), ("123456789 x " * 60_000, {"number"}), ("1.2.3.4 a@b.c " * 60_000, set())):
+        began = time.perf_counter()
+        base, found = pii._candidates(text)
+        assert time.perf_counter() - began < 10
+        assert {x[0] for x in found} <= kinds and [x for x in base if x[0] == "ip"] == [("ip", k, k + 7, True) for k in range(0, len(text), 14) if "." in text]
+        ends = sorted((s, e) for _, s, e, _ in found)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_reliabilities_follow_the_votes():
+    """Expectation-maximisation finds each labeler's reliability, that of the kind's own check too."""
+    r = np.random.default_rng(3)
+    truth = r.random(20_000) < 0.6
+    right = [0.7, 0.9, 0.85, 0.9, 0.8]
+    votes = Counter(tuple(int(v) for v in np.where(r.random(5) < right, 1, -1) * (1 if t else -1)) for t in truth)
+    prior, found = pii.reliabilities(votes)
+    assert abs(prior - 0.6) < 0.03
+    for j, share in enumerate(right):
+        assert abs(found[1, j, 2] - share) < 0.06 and abs(found[0, j, 0] - share) < 0.06
+
+
 def test_utf8_of_slices(spark):
     import pyarrow as pa
 
