@@ -183,18 +183,21 @@ _HELD = 0.1
 
 
 def reliabilities(votes: dict[tuple, int], rounds: int = 60) -> tuple[float, np.ndarray]:
-    """The share of true candidates and P(vote | truth) as an array (truth, labeler, vote + 1), by expectation-maximisation."""
+    """The share of true candidates and P(vote | truth, a vote) as an array (truth, labeler, against or for), by expectation-maximisation.
+
+    A labeler that has no vote on a candidate says nothing about it.
+    """
     patterns, n = np.array(list(votes), dtype=int), np.array(list(votes.values()), dtype=float)
     prior = 0.5
     # what is held before any data: it says which class is which, and the data, ten times as many for the check, say the rest
-    held = np.array([[[2.0, 1.0, 0.5]] * _LABELERS, [[0.5, 1.0, 2.0]] * _LABELERS])
-    held[:, 0] = np.array([[0.9, 0.09, 0.01], [0.01, 0.19, 0.8]]) * max(4.0, _HELD * n.sum())
+    held = np.array([[[2.0, 1.0]] * _LABELERS, [[1.0, 2.0]] * _LABELERS])
+    held[:, 0] = np.array([[0.95, 0.05], [0.05, 0.95]]) * max(4.0, _HELD * n.sum())
     table_ = held / held.sum(axis=2, keepdims=True)
     for _ in range(rounds):
         p = _posterior(patterns, prior, table_)
         for truth, w in ((0, n * (1 - p)), (1, n * p)):
             for j in range(_LABELERS):
-                got = np.array([w[patterns[:, j] == v].sum() for v in (-1, 0, 1)])
+                got = np.array([w[patterns[:, j] == v].sum() for v in (-1, 1)])
                 table_[truth, j] = (got + held[truth, j]) / (got + held[truth, j]).sum()
         prior = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
     return prior, table_
@@ -202,7 +205,7 @@ def reliabilities(votes: dict[tuple, int], rounds: int = 60) -> tuple[float, np.
 
 def _posterior(patterns: np.ndarray, prior: float, table_: np.ndarray) -> np.ndarray:
     logs = np.log(table_)
-    score = [sum(logs[t, j, patterns[:, j] + 1] for j in range(_LABELERS)) for t in (0, 1)]
+    score = [sum(np.where(patterns[:, j] == 0, 0.0, logs[t, j, (patterns[:, j] + 1) // 2]) for j in range(_LABELERS)) for t in (0, 1)]
     return 1 / (1 + np.exp(np.clip(score[0] - score[1] + math.log((1 - prior) / prior), -50, 50)))
 
 

@@ -163,7 +163,7 @@ def test_secrets(spark):
     r = random.Random(9)
     drawn = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     upper, hexed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
-    made = [lambda: "AKIA" + drawn(upper, 16), lambda: "password=" + drawn(hexed, 18), lambda: 'token = "' + drawn(hexed, 40) + '"', lambda: "section-1-of-the-chapter-2-and-so-on"]
+    made = [lambda: "AKIA7" + drawn(upper, 15), lambda: "password=" + drawn(hexed, 18), lambda: 'token = "' + drawn(hexed, 40) + '"', lambda: "section-1-of-the-chapter-2-and-so-on"]
     texts_ = [(n, f"{passage(n, 8)} {made[n % 4]()} {passage(n + 500, 8)}") for n in range(200)]
     got = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in pii.find_spans(spark.createDataFrame(rows(texts_), SCHEMA)).collect()}
     assert all((got[n] == ["secret"]) == (n % 4 < 3) for n in got), Counter((n % 4, tuple(k)) for n, k in got.items())
@@ -189,7 +189,7 @@ def test_reliabilities_follow_the_votes():
     prior, found = pii.reliabilities(votes)
     assert abs(prior - 0.6) < 0.03
     for j, share in enumerate(right):
-        assert abs(found[1, j, 2] - share) < 0.06 and abs(found[0, j, 0] - share) < 0.06
+        assert abs(found[1, j, 1] - share) < 0.06 and abs(found[0, j, 0] - share) < 0.06
 
 
 def test_utf8_of_slices(spark):
