@@ -32,6 +32,8 @@ from pipegrid.llm.neardup import _LETTER, _LOWER, _U, mix
 _BLOCK = 1 << 20
 _OUTSIDE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PREFIXES = (4, 6)
+#: Texts that are searched for at once, and the least cosine that counts (cosines have nine places).
+_TEXTS, _NEAR = 256, 1e-9
 _TAG = 0xD1B54A32D192ED03
 
 
@@ -88,6 +90,7 @@ class Index:
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]]):
         """rows: doc_id, label, terms (numbers in the vocabulary) and frequencies of each example."""
+        self._made = None
         self.vocabulary, self.idf = vocabulary, idf
         leading = [max(zip(idf[r[2]].tolist(), r[2], strict=True))[1] if r[2] else -1 for r in rows]
         order = sorted(range(len(rows)), key=lambda i: (leading[i], rows[i][1], rows[i][0], i))  # alike examples share blocks
@@ -111,52 +114,57 @@ class Index:
         norm = np.sqrt(np.bincount(row, w * w, minlength=n))
         return w / np.maximum(norm[row], 1e-300)
 
-    def _score(self, first, many, term, weight, text, block):
-        """The cosines of the texts with all examples of their blocks, as rows of SIZE."""
-        pair = np.repeat(np.arange(len(text)), many[text])
-        at = spread(first[text], many[text])
-        key = term[at] * self.n_blocks + block[pair]
-        lens = self.start[key + 1] - self.start[key]
-        posting = spread(self.start[key], lens)
-        place = np.repeat(pair, lens) * self.SIZE + self.example[posting] % self.SIZE
-        return np.bincount(place, np.repeat(weight[at], lens) * self.weight[posting], minlength=len(text) * self.SIZE).reshape(-1, self.SIZE)
+    def _blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each block's terms and their weights by example of the block, made once where they are used."""
+        if self._made is None:
+            term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.start[:: self.n_blocks]))
+            place, own = np.argsort(self.example // self.SIZE, kind="stable"), []
+            edges = np.searchsorted((self.example // self.SIZE)[place], np.arange(self.n_blocks + 1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                terms_, at = np.unique(term[place[a:b]], return_inverse=True)
+                weights = np.zeros((len(terms_), self.SIZE))
+                weights[at, self.example[place[a:b]] % self.SIZE] = self.weight[place[a:b]]
+                own.append((terms_, weights))
+            self._made = own
+        return self._made
+
+    def _some(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bound, own = np.zeros((n, self.n_blocks)), np.zeros((n, len(self.vocabulary)))
+        own[row, term] = weight
+        if len(row):  # sums over a text's own terms alone, whatever the vocabulary's size
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            bound[row[starts]] = np.add.reduceat(self.most[term] * weight[:, None], starts, axis=0)
+        cosine, least = np.zeros((n, self.n_blocks * self.SIZE)), np.full(n, _NEAR)
+        ahead = np.argsort(-bound, axis=1, kind="stable")[:, : max(2, -(-k // self.SIZE))]
+        asked = np.zeros(bound.shape, bool)
+        np.put_along_axis(asked, ahead, True, axis=1)
+        asked &= bound > 0
+        done = asked
+        for step in (0, 1):
+            for b in np.flatnonzero(asked.any(axis=0)).tolist():
+                texts_, (terms_, weights) = np.flatnonzero(asked[:, b]), self._blocks()[b]
+                cosine[texts_, b * self.SIZE : (b + 1) * self.SIZE] = np.round(own[np.ix_(texts_, terms_)] @ weights, 9)
+            known = cosine if step else np.take_along_axis(cosine.reshape(n, self.n_blocks, -1), ahead[:, :, None], axis=1).reshape(n, -1)
+            if k < known.shape[1]:
+                least = np.maximum(_NEAR, np.partition(known, -k, axis=1)[:, -k])
+            asked = (bound + _NEAR >= least[:, None]) & (bound > 0) & ~done
+        i, example = np.nonzero(cosine >= least[:, None])
+        order = np.lexsort((example, -cosine[i, example], i))
+        i, example = i[order], example[order]
+        good = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[good], example[good], cosine[i[good], example[good]]
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, example, cosine) of the k nearest examples of positive cosine of n texts, best first, ties by place."""
-        many = np.bincount(row, minlength=n)
-        first = np.cumsum(many) - many
-        bound = np.zeros((n, self.n_blocks))
-        some = np.flatnonzero(many)
-        for a in range(0, len(some), 256):  # sums over a text's own terms alone, whatever the vocabulary's size
-            part = some[a : a + 256]
-            x, y = first[part[0]], first[part[-1]] + many[part[-1]]
-            bound[part] = np.add.reduceat(self.most[term[x:y]] * weight[x:y, None], first[part] - x, axis=0)
-        rank = np.argsort(-bound, axis=1, kind="stable")
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        least = np.zeros(n)
-        ahead = min(2, self.n_blocks)
-        done = np.zeros(bound.shape, bool)
-        for step in (0, 1):
-            if step:
-                text, block = np.nonzero((bound > 0) & (bound * (1 + 1e-9) >= least[:, None]) & ~done)
-            else:
-                text, block = np.repeat(np.arange(n), ahead), rank[:, :ahead].ravel()
-                good = bound[text, block] > 0
-                text, block = text[good], block[good]
-                done[text, block] = True
-            for a in range(0, len(text), 4096):
-                some, of = text[a : a + 4096], block[a : a + 4096]
-                score = self._score(first, many, term, weight, some, of)
-                i, j = np.nonzero(score >= np.maximum(least[some], 1e-12)[:, None])
-                example, score = of[i] * self.SIZE + j, score[i, j]
-                i = some[i]
-                out = [np.concatenate(x) for x in zip(out, (i, example, score), strict=True)]
-                order = np.lexsort((out[1], -out[2], out[0]))
-                out = [x[order] for x in out]
-                place = np.arange(len(out[0])) - np.searchsorted(out[0], out[0])
-                least[out[0][place == k - 1]] = out[2][place == k - 1]
-                out = [x[place < k] for x in out]
-        return tuple(out)
+        """(text, example, cosine to nine places) of the k nearest examples of positive cosine of n texts, best first, ties by place.
+
+        row, term and weight: the texts' terms, by text.
+        """
+        edges = np.searchsorted(row, np.arange(0, n + _TEXTS, _TEXTS)).tolist()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a, x, y in zip(range(0, n, _TEXTS), edges, edges[1:], strict=False):
+            i, example, cosine = self._some(row[x:y] - a, term[x:y], weight[x:y], min(_TEXTS, n - a), k)
+            found.append((i + a, example, cosine))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def votes(self, found, n: int) -> np.ndarray:
         """Per text: the toxic share of the cosines, the best cosine, and whether there is any neighbour."""
