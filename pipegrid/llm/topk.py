@@ -5,13 +5,14 @@ each dimension and so bounds each term's part of a score. A query's terms, by th
 non-essential ones (which together cannot lift any candidate to the threshold, the k-th best score so far) and essential
 ones. A shard's columns for the essential terms are traversed block by block; a candidate whose partial score plus
 the bounds of the other terms reaches the threshold is competitive, and only competitive candidates are probed in the other
-terms. Scores are integers below 2^53 in magnitude, so float64 sums are exact. The best k of all shards merge by rank.
+terms. Where no partial sum can reach 2^53, float64 sums are exact; where one could, the task scores all pairs in integers of any
+size. The best k of all shards merge by rank.
 
 Queries meet candidates in blocks (a query block of at most ``query_block`` rows against one shard is a task's work); neither
 side is ever collected or broadcast. Vectors that are null, hold null or non-finite components, or have a null vec_id take no
-part, nor do vectors with a component of 2^22 or more in magnitude after scaling. Shorter vectors count as padded with
+part. Scaled components, and scores, beyond a long's range count as its ends. Shorter vectors count as padded with
 zeros. A query's own row, and any that repeats its vec_id, is no candidate; repeated candidates are candidates each, and repeated
-query rows share one result. Ties go to the smaller vec_id. Fewer candidates than k give as many rows; an empty table gives none.
+query rows share one result, but rows that share a vec_id alone have results of their own. Ties go to the smaller vec_id. Fewer candidates than k give as many rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pipegrid.llm.common import buckets, cut, table
 def quantised(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v, the components as floor(scale * x); rows that take no part are gone."""
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < float(1 << 22)))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("embedding").isNotNull() & fine, v).alias("v")).where("vec_id is not null and v is not null")
 
 
@@ -79,19 +80,33 @@ def search(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k
     return best
 
 
-_FOUND = "query_id long, vec_id long, score long"
+def search_integers(q: list, q_ids: np.ndarray, v: list, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as search, for lists of integers of any size."""
+    out, ends = [], np.iinfo(np.int64)
+    for n, (own, a) in enumerate(zip(q_ids.tolist(), q, strict=True)):
+        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in zip(v_ids.tolist(), v, strict=True) if i != own)[:k]
+        out += [(n, i, min(max(-score, ends.min), ends.max)) for score, i in ranked]
+    return tuple(np.array([x[j] for x in out], np.int64) for j in range(3))
+
+
+_FOUND = "query_id long, query_hash long, vec_id long, score long"
 
 
 def _task(k: int):
     def run(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        if not queries.num_rows or not shard.num_rows:
-            return empty
-        width = max(max(np.asarray(t.column("v").combine_chunks().value_lengths()).max() for t in (queries, shard)), 1)
-        q_ids, v_ids = (np.asarray(t.column("vec_id")) for t in (queries, shard))
-        q_ids, first = np.unique(q_ids, return_index=True)
-        i, j, score = search(_matrix(queries, width)[first], q_ids, _matrix(shard, width), v_ids, k)
-        return pa.table({"query_id": pa.array(q_ids[i]), "vec_id": pa.array(j), "score": pa.array(score.astype(np.int64))})
+        found = (np.zeros(0, np.int64),) * 3
+        q_ids, q_hash = (np.asarray(queries.column(c), np.int64) for c in ("vec_id", "hash"))
+        if queries.num_rows and shard.num_rows:
+            _, first = np.unique(np.stack([q_ids, q_hash]), axis=1, return_index=True)
+            queries, q_ids, q_hash, v_ids = queries.take(first), q_ids[first], q_hash[first], np.asarray(shard.column("vec_id"), np.int64)
+            width = max(max(np.asarray(t.column("v").combine_chunks().value_lengths()).max() for t in (queries, shard)), 1)
+            q, v = _matrix(queries, width), _matrix(shard, width)
+            if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * width < 1 << 52:
+                found = search(q, q_ids, v, v_ids, k)
+            else:
+                found = search_integers(queries.column("v").to_pylist(), q_ids, shard.column("v").to_pylist(), v_ids, k)
+        i, j, score = found
+        return pa.table({"query_id": pa.array(q_ids[i], pa.int64()), "query_hash": pa.array(q_hash[i], pa.int64()), "vec_id": pa.array(j, pa.int64()), "score": pa.array(score.astype(np.int64))})
 
     return run
 
@@ -104,10 +119,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, query_block: int = 4096, sha
     shards = max(1, -(-counts["n"] // shard_rows), min(buckets(kept), counts["n"] // 2048))
     at = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = kept.where(is_query).select("vec_id", "v", at(blocks, 1).alias("block"), copies(shards).alias("shard"))
+    queries = kept.where(is_query).select("vec_id", "v", F.xxhash64("v").alias("hash"), at(blocks, 1).alias("block"), copies(shards).alias("shard"))
     pieces = kept.withColumn("copy", F.monotonically_increasing_id()).select("vec_id", "v", copies(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", "copy"), F.lit(shards)).cast("int").alias("shard"))
     found = queries.groupBy("block", "shard").cogroup(pieces.groupBy("block", "shard")).applyInArrow(_task(k), _FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
