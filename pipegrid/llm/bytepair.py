@@ -1,31 +1,38 @@
-"""Byte-level BPE by merge replay over a corpus block's distinct words.
+"""Byte-level BPE by merge replay over the corpus's distinct words.
 
-The distinct pre-tokens of a block of documents lie one after the other as a linked list of symbols. An inverted index goes
-from each merged token's rank to the positions of the pairs that would make it. Ranks are replayed in order: all positions of
-a rank merge at once, and only the pairs with their left and right neighbours enter the index anew. A word in which a merge
-made a pair of a lower rank than the one being replayed (possible in rank files that no merge list made) is encoded again by
-itself, pair by pair. Words that are a token as a whole take it directly, as the library does.
+Blocks of documents number their pre-tokens and tell each bucket of words their distinct ones, so that every distinct word of
+the corpus is encoded once, in one bucket. The words of a bucket lie one after the other as a linked list of symbols. An
+inverted index goes from each merged token's rank to the positions of the pairs that would make it. Ranks are replayed in order:
+all positions of a rank merge at once, and only the pairs with their left and right neighbours enter the index anew. A word in
+which a merge made a pair of a lower rank than the one being replayed (possible in rank files that no merge list made) is
+encoded again by itself, pair by pair, in n log n steps. Words that are a token as a whole take it directly, as the library
+does. The ids go back to the blocks by name, where documents gather theirs.
 
 Null text is empty (no ids). A null doc_id is a row like any other, repeated rows stay repeated, an empty table gives an
 empty table, and columns besides doc_id and text are ignored. Blocks are bounded by bytes, so memory does not follow the input.
+They are named by partition and place, so a partition that is read again after a loss has to come in the same order, as files
+do; write anything else to a table first.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import blocks, spread, table, texts
+from pipegrid.llm.common import blocks, buckets, spread, table, texts
+from pipegrid.llm.tokens import numbers, zipped
 
-
-#: Bytes of text whose distinct words are replayed together.
-BLOCK = 4 << 20
+#: Bytes of text that share one list of numbered words.
+BLOCK = 8 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -59,14 +66,22 @@ class MergeReplay:
 
     def one(self, word: bytes) -> list[int]:
         """The ids of a word by itself: always the lowest rank, the leftmost first."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            best = min(((self.ranks[m], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (m := a + b) in self.ranks), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        parts: list[bytes] = [bytes([b]) for b in word]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i) for i in range(n - 1) if (r := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(queue)
+        while queue:
+            r, i = heapq.heappop(queue)
+            if not parts[i] or (j := after[i]) >= n or self.ranks.get(parts[i] + parts[j]) != r:
+                continue  # what stood here has merged since
+            parts[i], parts[j], after[i] = parts[i] + parts[j], b"", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := self.ranks.get(parts[k] + parts[after[k]])) is not None:
+                    heapq.heappush(queue, (r, k))
+        return [self.ranks[p] for p in parts if p]
 
     def encode(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, one word after the other, and the number of ids of each word."""
@@ -152,30 +167,98 @@ class MergeReplay:
         return self.flat[spread(self.start[ids], self.length[ids])].tobytes()
 
 
-def _encode(ranks, pattern: str, back: bool):
+@lru_cache(maxsize=2)
+def _replay(raw: bytes) -> MergeReplay:
+    """A Python worker's tables, kept from group to group."""
+    return MergeReplay(read_ranks(raw))
+
+
+_MAIL = "dest string, source string, n long, body binary, ids array<long>"
+
+
+def _mail(rows: list[tuple]) -> pa.Table:
+    dest, source, n, body, ids = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.table([pa.array(dest, pa.string()), pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(body, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["dest", "source", "n", "body", "ids"])
+
+
+def _pack(n: int, pattern: str):
+    """Per block of documents: to itself every document's words by number, and to each bucket (word-k) the block's words."""
+
     def run(batches):
         import regex
 
-        replay, split = MergeReplay(read_ranks(ranks.value)), regex.compile(pattern)
-        for t in blocks(batches, BLOCK):
-            vocabulary: dict[str, int] = {}
-            lists = []
+        split, part = regex.compile(pattern), TaskContext.get().partitionId()
+        for k, t in enumerate(blocks(batches, BLOCK)):
+            block, vocabulary, which = f"{part}-{k}", {}, []
             for text in t.column("text").to_pylist():
-                lists.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split.findall(text)], dtype=np.int64))
-            ids, count = replay.encode([w.encode() for w in vocabulary])
-            first = np.cumsum(count) - count
-            coded = [ids[spread(first[x], count[x])].astype("<u4").tobytes() for x in lists]
-            columns = {"doc_id": t.column("doc_id").combine_chunks(), "ids": pa.array(coded, pa.binary())}
-            if back:
-                columns["decoded"] = pa.array([replay.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in coded], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                which.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split.findall(text)], dtype=np.int64))
+            raw = [w.encode() for w in vocabulary]
+            at = np.array([zlib.crc32(w) for w in raw], dtype=np.uint32) % n
+            order = np.argsort(at, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            ends = np.searchsorted(at[order], np.arange(n + 1)).tolist()
+            body = np.concatenate([np.array([len(x) for x in which], np.int64), place[np.concatenate(which)]])
+            rows = [(block, "", len(raw), zipped(body), t.column("doc_id").to_pylist())]
+            for b in range(n):
+                if ends[b] < ends[b + 1]:
+                    some = [raw[i] for i in order[ends[b] : ends[b + 1]]]
+                    sizes = np.array([len(w) for w in some], "<u4").tobytes()
+                    rows.append((f"word-{b}", block, len(some), zstandard.compress(sizes + b"".join(some), 1), []))
+            yield from _mail(rows).to_batches()
+
+    return run
+
+
+def _encode(ranks):
+    """A bucket's words, each encoded once, back to the blocks that have them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if not t.column("dest")[0].as_py().startswith("word-"):
+            return _mail([])
+        number: dict[bytes, int] = {}
+        rows = []
+        for r in t.to_pylist():
+            raw = zstandard.decompress(r["body"])
+            ends = (np.cumsum(np.frombuffer(raw, "<u4", r["n"]), dtype=np.int64) + 4 * r["n"]).tolist()
+            words = [raw[a:b] for a, b in zip([4 * r["n"], *ends], ends, strict=False)]
+            rows.append((r, np.array([number.setdefault(w, len(number)) for w in words], np.int64)))
+        ids, count = _replay(ranks.value).encode(list(number))
+        first, bucket = np.cumsum(count) - count, t.column("dest")[0].as_py()
+        return _mail([(r["source"], bucket, len(x), zipped(np.concatenate([count[x], ids[spread(first[x], count[x])]])), []) for r, x in rows])
+
+    return run
+
+
+def _gather(ranks, back: bool):
+    """A block's documents with the ids of their words one after the other, and the bytes that these stand for."""
+
+    def run(t: pa.Table, mail: pa.Table) -> pa.Table:
+        docs = [] if not t.num_rows or t.column("dest")[0].as_py().startswith("word-") else t.to_pylist()
+        ids, coded, decoded = [], [], []
+        for block in docs:
+            counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in sorted(mail.to_pylist(), key=lambda r: int(r["source"].removeprefix("word-"))):
+                x = numbers(r["body"])
+                counts.append(x[: r["n"]]), flat.append(x[r["n"] :])
+            count, flat = np.concatenate(counts), np.concatenate(flat)
+            first, body, n = np.cumsum(count) - count, numbers(block["body"]), len(block["ids"])
+            ends = np.cumsum(body[:n]) + n
+            for a, b in zip((ends - body[:n]).tolist(), ends.tolist(), strict=True):
+                own = flat[spread(first[body[a:b]], count[body[a:b]])]
+                coded.append(own.astype("<u4").tobytes())
+                if back:
+                    decoded.append(_replay(ranks.value).decode(own))
+            ids += block["ids"]
+        columns = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(coded, pa.binary())} | ({"decoded": pa.array(decoded, pa.binary())} if back else {})
+        return pa.table(columns)
 
     return run
 
 
 def _decode(ranks):
     def run(batches):
-        replay = MergeReplay(read_ranks(ranks.value))
+        replay = _replay(ranks.value)
         for b in batches:
             found = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([replay.decode(x) for x in found], pa.binary())], names=[*b.schema.names, "decoded"])
@@ -193,7 +276,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, back: bool = False) -
 
     back: also decoded, the bytes that the ids stand for, in the same Python workers.
     """
-    return texts(docs).mapInArrow(_encode(_shared(docs, vocabulary), pattern, back), "doc_id long, ids binary" + ", decoded binary" * back)
+    ranks = _shared(docs, vocabulary)
+    # both groupings read one exchange of the packed blocks, in which nothing is filtered
+    packed = texts(docs).mapInArrow(_pack(buckets(docs), pattern), _MAIL)
+    found = packed.groupBy("dest").applyInArrow(_encode(ranks), _MAIL).toDF("at", "source", "n", "body", "ids")
+    return packed.groupBy("dest").cogroup(found.groupBy("at")).applyInArrow(_gather(ranks, back), "doc_id long, ids binary" + ", decoded binary" * back)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

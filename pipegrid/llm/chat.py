@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipegrid.llm.common import cut, table
+from pipegrid.llm.common import stored, table
 
 _START, _END = "<|im_start|>", "<|im_end|>\n"
 
@@ -53,26 +53,26 @@ def chain(rows: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """tree, root, leaf, rank, n_turns, formatted and loss_spans of the best branches of every root (None: of all)."""
     own = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    links = cut(own.select("tree", "node", "parent", "score"))
+    links = stored(own.select("tree", "node", "parent", "score"))
     known = links.select("tree", F.col("node").alias("parent"))
     # up: the ancestor 2^k replies above; gain: the scores from the node up to, but without, that ancestor
-    reach = cut(links.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("gain")))
+    reach = stored(links.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("gain")))
     roots = links.join(reach.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("root"), F.col("score").alias("own"))
     ended, tables = roots.select("tree", F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("sum")), []
-    done = cut(ended)
+    done = stored(ended)
     while not reach.isEmpty():
         tables.append(reach.select("tree", "node", "up"))
         step = 1 << (len(tables) - 1)
         # nodes whose ancestor is done by now have depth under 2 * step
         near = done.select("tree", F.col("node").alias("up"), "root", "depth", F.col("sum").alias("above"))
         now = reach.join(near.where(F.col("depth") < step), ["tree", "up"]).select("tree", "node", "root", (F.col("depth") + step).alias("depth"), (F.col("gain") + F.col("above")).alias("sum"))
-        now = cut(now)
+        now = stored(now)
         if now.isEmpty():  # a deeper node would have an ancestor that is done by now: what is left goes round in circles
             tables.pop()
             break
-        done = cut(done.unionByName(now))
+        done = stored(done.unionByName(now))
         further = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"))
-        reach = cut(reach.join(further, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")))
+        reach = stored(reach.join(further, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")))
     parents = links.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = done.join(parents, ["tree", "node"], "left_anti").join(roots, ["tree", "root"])
     leaves = leaves.select("tree", "root", F.col("node").alias("leaf"), "depth", ((F.col("sum") + F.col("own")) / (F.col("depth") + 1)).alias("branch_score"))

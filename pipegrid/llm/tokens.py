@@ -79,12 +79,12 @@ def _encoder(vocabulary: bytes) -> WordEncoder:
     return WordEncoder(vocabulary)
 
 
-def _zipped(x: np.ndarray) -> bytes:
+def zipped(x: np.ndarray) -> bytes:
     """Numbers as compressed planes of their first, second, third and fourth bytes."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _numbers(raw: bytes) -> np.ndarray:
+def numbers(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
@@ -128,7 +128,7 @@ def _pack(n: int, ordered: bool):
                 by = np.argsort(whole)
                 place, many = np.diff(whole[by], prepend=0) % max(1, len(raw)), many[by]
             body = [per, place, many]
-            yield _row(block, -1, len(raw), _zipped(np.concatenate(body)), t.column("doc_id").to_pylist(), size)
+            yield _row(block, -1, len(raw), zipped(np.concatenate(body)), t.column("doc_id").to_pylist(), size)
             for b in range(n):
                 if ends[b] < ends[b + 1]:
                     some = [raw[i] for i in order[ends[b] : ends[b + 1]]]
@@ -158,7 +158,7 @@ def _count(vocabulary, ids: bool):
         found = encoder.encode(list(number))
         count = np.array([len(x) for x in found], np.int64)
         flat, first = np.concatenate(found).astype(np.int64), np.cumsum(count) - count
-        body = [_zipped(np.concatenate([count[x], flat[spread(first[x], count[x])]] if ids else [count[x]])) for x in which]
+        body = [zipped(np.concatenate([count[x], flat[spread(first[x], count[x])]] if ids else [count[x]])) for x in which]
         empty = pa.array([[]] * len(body), pa.list_(pa.int64()))
         return pa.table([t.column("block"), t.column("bucket"), pa.array([len(x) for x in which], pa.int64()), pa.array(body, pa.binary()), empty, empty], names=["block", "bucket", "start", "body", "ids", "size"])
 
@@ -170,10 +170,10 @@ def joined(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.nd
     rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
     docs, counts, ids = rows[0], [], []
     for r in rows[1:]:
-        x = _numbers(r["body"])
+        x = numbers(r["body"])
         counts.append(x[: r["start"]])
         ids.append(x[r["start"] :])
-    body, n = _numbers(docs["body"]), len(docs["ids"])
+    body, n = numbers(docs["body"]), len(docs["ids"])
     none = [np.zeros(0, np.int64)]
     return docs, body[:n], body[n:], np.concatenate(counts or none), np.concatenate(ids or none)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -106,3 +109,37 @@ def test_replay_with_disordered_ranks():
         ids, count = bytepair.MergeReplay(ranks).encode(words)
         assert ids.tolist() == [x for w in words for x in library.encode_ordinary(w.decode())]
         assert count.sum() == len(ids)
+
+
+def test_long_words_alone():
+    """A word of 200,000 bytes by itself, in little time, with the ids of the replay."""
+    with open(RANKS, "rb") as f:
+        replay = bytepair.MergeReplay(bytepair.read_ranks(f.read()))
+    word = b"abcdefghij the" * 15_000
+    began = time.perf_counter()
+    alone = replay.one(word)
+    assert time.perf_counter() - began < 20 and b"".join(replay.tokens[x] for x in alone) == word
+    ids, count = replay.encode([word, word[:3000]])
+    assert alone == ids[: count[0]].tolist() and replay.one(word[:3000]) == ids[count[0] :].tolist()
+
+
+def test_queries_of_tokens(spark, tmp_path, docs, texts):
+    """op4, op7 and op10 as registered, against the libraries."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library, coder = Tokenizer.from_file(P.path("word_bpe_49k.json")), tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=bytepair.read_ranks(open(RANKS, "rb").read()), special_tokens={})
+    ids = [(i, (t or "").encode(), library.encode(t or "", add_special_tokens=False).ids) for i, t in texts]
+    assert Counter(tuple(r) for r in tokens.op7_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()) == Counter((i, len(raw), len(x), len(x) > 2048) for i, raw, x in ids)
+    coded = [(i, raw, np.array(coder.encode_ordinary(raw.decode()), "<u4")) for i, raw, _ in ids]
+    want = Counter((i, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) for i, raw, x in coded)
+    assert Counter(tuple(r) for r in bytepair.op10_byte_bpe(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    got = packing.op4_packing(spark, str(tmp_path)).collect()
+    want = Counter()
+    for i, _, x in ids:
+        x = np.array([*x, 0], "<u4")
+        want.update((i, k, a, len(x[a : a + 2048]), zlib.crc32(x[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(x), 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    for (s, a, n), (s2, a2, _) in zip(places, [*places[1:], (None, 0, 0)], strict=True):
+        assert a2 == (a + n if s2 == s else 0) and a + n <= 2048
+    sizes = sorted(n for *_, n in places)
+    assert len({s for s, _, _ in places}) <= -(-sum(sizes) // 2048) + 1
