@@ -65,10 +65,18 @@ def box_pairs(left: DataFrame, right: DataFrame, key: str, bucket_mm: float, on:
     return a.join(b, all_of(same + touch + first)).select("left_id", "right_id", *(F.col(f"left_{c}").alias(c) for c in on))
 
 
-def pick(points: DataFrame, boxes: DataFrame, eps: float = 1.0) -> DataFrame:
-    """For each point (point_id, scene_id, x, y, z) the smallest box that holds it within eps; ties by layer, then id."""
+def pick(points: DataFrame, boxes: DataFrame, eps: float = 1.0, bucket_mm: float = 400.0) -> DataFrame:
+    """For each point (point_id, scene_id, x, y, z) the smallest box that holds it within eps; ties by layer, then id.
+
+    Boxes are dealt to the coarse buckets that they cover, so that a point meets the boxes of its own bucket alone.
+    """
+    covered = boxes.withColumn("volume", clamped_volume()).withColumnRenamed("scene_id", "of")
+    for a in AXES:
+        low, high = (F.floor((F.col(f"{e}_{a}") + by) / bucket_mm) for e, by in (("min", -eps), ("max", eps)))
+        covered = covered.where(F.col(f"max_{a}") >= F.col(f"min_{a}")).withColumn(f"b_{a}", F.explode(F.sequence(low, high)))
     inside = [(F.col(a) >= F.col(f"min_{a}") - eps) & (F.col(a) <= F.col(f"max_{a}") + eps) for a in AXES]
-    found = points.join(boxes.withColumn("volume", clamped_volume()).withColumnRenamed("scene_id", "of"), all_of([F.col("scene_id") == F.col("of"), *inside]))
+    same = [F.floor(F.col(a) / bucket_mm) == F.col(f"b_{a}") for a in AXES]
+    found = points.join(covered, all_of([F.col("scene_id") == F.col("of"), *same, *inside]))
     first = Window.partitionBy("point_id").orderBy("volume", "layer", "object_id")
     return found.withColumn("n", F.row_number().over(first)).where("n = 1").select("point_id", "scene_id", "object_id", "volume")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipegrid.functions.scalars import CELL, cell_range, in_bounds, valid_box
@@ -72,19 +72,19 @@ def clearance(cells: DataFrame, radius: int, connectivity: int, shape) -> DataFr
     return near.groupBy("scene_id", *CELL).agg(F.min("d").alias("d"))
 
 
-def every_cell(spark: SparkSession, shape, scenes: int) -> DataFrame:
-    """All cells of some scenes."""
+def every_cell(scenes: DataFrame, shape) -> DataFrame:
+    """All cells of the scenes (rows of scene_id)."""
     check_grid(shape, 1.0)
-    out = spark.range(scenes).select(F.col("id").cast("int").alias("scene_id"))
+    out = scenes.select("scene_id").distinct()
     for c, n in zip(CELL, shape, strict=True):
         out = out.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return out
 
 
-def dense(spark: SparkSession, cells: DataFrame, shape, scenes: int) -> DataFrame:
-    """All cells with blocked."""
+def dense(scenes: DataFrame, cells: DataFrame, shape) -> DataFrame:
+    """All cells of the scenes with blocked."""
     keys = ["scene_id", *CELL]
-    return every_cell(spark, shape, scenes).join(cells.withColumn("blocked", F.lit(True)), keys, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    return every_cell(scenes, shape).join(cells.withColumn("blocked", F.lit(True)), keys, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
 def blocked(probes: DataFrame, cells: DataFrame, shape) -> DataFrame:
@@ -99,11 +99,14 @@ def coarse(cells: DataFrame, factor: int) -> DataFrame:
 
 
 def mark_pipe(cells: DataFrame, path: DataFrame, radius: int, shape) -> DataFrame:
-    """cells with the paths and, for radius 1, their six neighbours (a larger radius grows step by step, see routing)."""
-    if radius > 1:
-        raise ValueError("a radius above 1 depends on the order of growth: use routing.mark_pipe")
-    own = path.select("scene_id", *CELL).distinct()
-    return cells.select("scene_id", *CELL).unionByName(inflate(own, radius, 6, shape)).distinct()
+    """cells with the paths and radius steps of free cells around them: blocked cells neither join nor are grown through."""
+    keys = ["scene_id", *CELL]
+    edge = path.select(keys).distinct()
+    taken = cells.select(keys).unionByName(edge)
+    for _ in range(radius):
+        edge = inflate(edge, 1, 6, shape).select(keys).join(taken, keys, "left_anti")
+        taken = taken.unionByName(edge)
+    return taken.distinct()
 
 
 def snap(probes: DataFrame, cells: DataFrame, radius: int, shape, keep_blocked: bool = True) -> DataFrame:

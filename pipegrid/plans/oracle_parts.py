@@ -2,7 +2,7 @@
 
 OBSTACLES = """
 obstacles AS (
-  SELECT CAST(l_suppkey % 4 AS INTEGER) AS scene_id, 'scene_' || (l_suppkey % 4) AS source_file,
+  SELECT CAST(l_suppkey AS INTEGER) AS scene_id, 'scene_' || l_suppkey AS source_file,
     concat_ws('-', l_orderkey, l_partkey, l_suppkey, q, l_returnflag, l_linestatus) AS object_id, 'box ' || l_partkey AS name,
     CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 13 = 0 THEN '' WHEN l_returnflag = 'R' THEN ' OST_Floors '
       WHEN l_returnflag = 'A' THEN 'OST_StructuralFraming' ELSE 'OST_GenericModel' END AS ost_type,
@@ -12,7 +12,7 @@ obstacles AS (
     CAST(l_orderkey // 8 % 16 * 100 + sh + CASE WHEN l_orderkey % 37 = 0 THEN 0 ELSE e END AS DOUBLE) AS max_z
   FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, l_returnflag, l_linestatus,
       CASE WHEN CAST(l_quantity AS INTEGER) % 2 = 1 THEN 50 ELSE 0 END AS sh, (1 + CAST(l_quantity AS INTEGER) % 4) * 100 AS e
-    FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 20 = 0))"""
+    FROM lineitem))"""
 
 VALID = "max_x > min_x AND max_y > min_y AND max_z > min_z"
 
@@ -23,9 +23,8 @@ boxes AS (
     CAST(greatest(floor(min_z / 100), 0) AS INTEGER) AS k0, CAST(least(ceil(max_z / 100), 16) AS INTEGER) AS k1
   FROM obstacles WHERE {VALID}),
 box_cells AS (
-  SELECT scene_id, object_id, ost_type, CAST(x.i AS INTEGER) AS i, CAST(y.j AS INTEGER) AS j, CAST(z.k AS INTEGER) AS k
-  FROM boxes, range(0, 64) x(i), range(0, 64) y(j), range(0, 16) z(k)
-  WHERE x.i >= i0 AND x.i < i1 AND y.j >= j0 AND y.j < j1 AND z.k >= k0 AND z.k < k1),
+  SELECT scene_id, object_id, ost_type, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(unnest(range(k0, k1)) AS INTEGER) AS k
+  FROM (SELECT *, unnest(range(j0, j1)) AS j FROM (SELECT *, unnest(range(i0, i1)) AS i FROM boxes))),
 cells AS (SELECT DISTINCT scene_id, i, j, k FROM box_cells)"""
 
 TASKS = """
@@ -34,11 +33,11 @@ tasks AS (
     gi * 100.0::DOUBLE + 50 AS gx, gj * 100.0::DOUBLE + 50 AS gy, gk * 100.0::DOUBLE + 50 AS gz,
     '[' || coalesce(nullif(utility_group, ''), '?') || '] ' || coalesce(nullif(utility, ''), '?') AS label,
     CAST(CASE size_text WHEN '40A' THEN 40 WHEN '1/2B' THEN 12.7 WHEN '1-1/4B' THEN 31.75 WHEN '65' THEN 65 WHEN '1/4BX1/2B' THEN 6.35 ELSE 0 END AS DOUBLE) AS diameter_mm
-  FROM (SELECT o_orderkey AS task_id, CAST(o_custkey % 4 AS INTEGER) AS scene_id, 0 AS si, CAST(o_custkey % 64 AS INTEGER) AS sj, CAST(o_orderkey // 25 % 16 AS INTEGER) AS sk,
-      63 AS gi, CAST((o_custkey * 3 + o_orderkey // 25) % 64 AS INTEGER) AS gj, CAST(o_custkey // 7 % 16 AS INTEGER) AS gk,
+  FROM (SELECT o_orderkey AS task_id, CAST(o_custkey // 15 AS INTEGER) AS scene_id, 0 AS si, CAST(o_custkey % 64 AS INTEGER) AS sj, CAST(o_orderkey % 16 AS INTEGER) AS sk,
+      63 AS gi, CAST((o_custkey * 3 + o_orderkey) % 64 AS INTEGER) AS gj, CAST(o_custkey // 7 % 16 AS INTEGER) AS gk,
       CASE WHEN o_custkey % 17 <> 0 THEN o_orderpriority END AS utility, o_orderstatus AS utility_group,
       ['40A', '1/2B', '1-1/4B', '65', '1/4BX1/2B', NULL][CAST(o_custkey % 6 AS INTEGER) + 1] AS size_text, o_totalprice AS price
-    FROM orders WHERE o_orderkey % 25 = 0))"""
+    FROM orders))"""
 
 PATHS = """
 paths AS (
@@ -52,7 +51,7 @@ details AS (
   SELECT DISTINCT l_orderkey AS route_guid, l_linenumber AS order_1, l_partkey * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS order_2,
     CAST(l_partkey % 8 * 100 AS DOUBLE) AS from_x, CAST(l_suppkey % 8 * 100 AS DOUBLE) AS from_y, CAST(l_linenumber * 100 AS DOUBLE) AS from_z,
     CAST((l_partkey + l_linenumber % 2) % 8 * 100 AS DOUBLE) AS to_x, CAST(l_suppkey % 8 * 100 AS DOUBLE) AS to_y, CAST(l_linenumber * 100 AS DOUBLE) AS to_z
-  FROM lineitem WHERE l_orderkey % 25 = 0),
+  FROM lineitem),
 points AS (
   SELECT route_guid, row_number() OVER (PARTITION BY route_guid ORDER BY order_1, order_2, e) AS n, x, y, z FROM (
     SELECT route_guid, order_1, order_2, 0 AS e, from_x AS x, from_y AS y, from_z AS z FROM details

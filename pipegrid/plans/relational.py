@@ -28,10 +28,10 @@ _DIST = "abs(si - gi) + abs(sj - gj) + abs(sk - gk)"
 # --- sources and filters
 
 
-@query("src_projects", "SELECT n_nationkey AS project_id, 'scene_' || (n_nationkey % 4) AS source_file, n_name AS process, 'EQ' || n_regionkey AS equipment_code FROM nation")
+@query("src_projects", "SELECT n_nationkey AS project_id, 'scene_' || n_nationkey AS source_file, n_name AS process, 'EQ' || n_regionkey AS equipment_code FROM nation")
 def src_projects(spark, sf):
     n = D.read(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").alias("project_id"), F.concat(F.lit("scene_"), (F.col("n_nationkey") % 4).cast("string")).alias("source_file"), F.col("n_name").alias("process"), F.concat(F.lit("EQ"), F.col("n_regionkey").cast("string")).alias("equipment_code")).orderBy("project_id")
+    return n.select(F.col("n_nationkey").alias("project_id"), F.concat(F.lit("scene_"), F.col("n_nationkey").cast("string")).alias("source_file"), F.col("n_name").alias("process"), F.concat(F.lit("EQ"), F.col("n_regionkey").cast("string")).alias("equipment_code")).orderBy("project_id")
 
 
 _BOX = "scene_id, object_id, name, ost_type, ddworks_type, min_x, min_y, min_z, max_x, max_y, max_z"
@@ -63,7 +63,7 @@ def flt_passthrough(spark, sf):
 
 
 _POC = """
-WITH e AS (SELECT s_suppkey AS eq_id, CAST(s_suppkey % 4 AS INTEGER) AS scene_id FROM supplier WHERE s_suppkey % 3 = 0)
+WITH e AS (SELECT s_suppkey AS eq_id, CAST(s_suppkey AS INTEGER) AS scene_id FROM supplier WHERE s_suppkey % 3 = 0)
 SELECT eq_id, scene_id, 'p' || p.n AS poc_name, '[G] ' || CASE WHEN p.n <> 2 THEN 'U' || (eq_id % 3) ELSE '?' END AS label, 'end' || q.n AS end_name,
   CAST(eq_id % 64 AS DOUBLE) AS sx, CAST(p.n AS DOUBLE) AS sy, CAST(1 AS DOUBLE) AS sz, CAST(q.n * 100 AS DOUBLE) AS gx, CAST(eq_id % 50 AS DOUBLE) AS gy, CAST(5 AS DOUBLE) AS gz, CAST(40 AS DOUBLE) AS diameter_mm
 FROM e, range(0, 4) p(n), range(0, 3) q(n) WHERE p.n < 3 AND p.n <> 1 AND q.n % 2 = 0"""
@@ -115,14 +115,14 @@ def src_statistics(spark, sf):
     return own.agg(F.count(F.lit(1)).alias("n"), *(F.min(f"min_{a}").alias(f"min_{a}") for a in "xyz"), *(F.max(f"max_{a}").alias(f"max_{a}") for a in "xyz"))
 
 
-@query("src_route_metrics", "WITH m AS (SELECT o.o_orderkey AS route_guid, s.s_suppkey AS eq_id, o.o_totalprice AS total FROM orders o JOIN supplier s ON o.o_custkey % 10 = s.s_suppkey % 10 WHERE o.o_orderkey % 25 = 0 AND s.s_suppkey % 3 = 0 AND s.s_suppkey % 60 * 100 BETWEEN 500 AND 4000) SELECT route_guid, min(eq_id) AS eq_id, min(total) AS total FROM m GROUP BY 1")
+@query("src_route_metrics", "WITH m AS (SELECT o.o_orderkey AS route_guid, s.s_suppkey AS eq_id, o.o_totalprice AS total FROM orders o JOIN supplier s ON o.o_custkey % 10 = s.s_suppkey % 10 WHERE s.s_suppkey % 3 = 0 AND s.s_suppkey % 60 * 100 BETWEEN 500 AND 4000) SELECT route_guid, min(eq_id) AS eq_id, min(total) AS total FROM m GROUP BY 1")
 def src_route_metrics(spark, sf):
-    routes = D.read(spark, sf, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("route_guid"), (F.col("o_custkey") % 10).alias("owner"), F.col("o_totalprice").alias("total"))
+    routes = D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("route_guid"), (F.col("o_custkey") % 10).alias("owner"), F.col("o_totalprice").alias("total"))
     main = D.equipment(spark, sf).where("is_main and min_x between 500 and 4000").select((F.col("eq_id") % 10).alias("owner"), "eq_id")
     return G.order_within(routes.join(main, "owner"), ["route_guid"], ["eq_id"]).where("n = 1").select("route_guid", "eq_id", "total")
 
 
-@query("j_project_boxes", having(OBSTACLES) + f"SELECT p.n_nationkey AS project_id, CAST(count(*) AS BIGINT) AS boxes FROM nation p JOIN obstacles o ON o.source_file = 'scene_' || (p.n_nationkey % 4) WHERE {VALID} GROUP BY 1")
+@query("j_project_boxes", having(OBSTACLES) + f"SELECT p.n_nationkey AS project_id, CAST(count(*) AS BIGINT) AS boxes FROM nation p JOIN obstacles o ON o.source_file = 'scene_' || p.n_nationkey WHERE {VALID} GROUP BY 1")
 def j_project_boxes(spark, sf):
     return src_projects(spark, sf).join(B.select_boxes(D.obstacles(spark, sf)), "source_file").groupBy("project_id").agg(F.count(F.lit(1)).alias("boxes"))
 
@@ -429,7 +429,7 @@ def set_path_only(spark, sf):
     return own.join(G.voxelize(D.obstacles(spark, sf), SHAPE, MM), ["scene_id", *S.CELL], "left_anti")
 
 
-@query("set_labels", having(TASKS) + "SELECT label FROM tasks UNION SELECT '[design] ' || (l_orderkey % 3) FROM lineitem WHERE l_orderkey % 25 = 0")
+@query("set_labels", having(TASKS) + "SELECT label FROM tasks UNION SELECT '[design] ' || (l_orderkey % 3) FROM lineitem")
 def set_labels(spark, sf):
     design = D.segment_details(spark, sf).select(F.concat(F.lit("[design] "), (F.col("route_guid") % 3).cast("string")).alias("label"))
     return D.tasks(spark, sf).select("label").unionByName(design).distinct()
@@ -465,9 +465,10 @@ def grd_layers(spark, sf):
     return G.box_cells(own, SHAPE, MM, keep=("scene_id", "ost_type")).distinct()
 
 
-@query("grd_dense", having(OBSTACLES, CELLS) + "SELECT CAST(s.s AS INTEGER) AS scene_id, CAST(z.k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS n, CAST(count(c.i) AS BIGINT) AS blocked FROM range(0, 4) s(s), range(0, 64) x(i), range(0, 64) y(j), range(0, 16) z(k) LEFT JOIN cells c ON c.scene_id = s.s AND c.i = x.i AND c.j = y.j AND c.k = z.k GROUP BY ALL")
+@query("grd_dense", having(OBSTACLES, CELLS) + "SELECT CAST(s.s AS INTEGER) AS scene_id, CAST(z.k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS n, CAST(count(c.i) AS BIGINT) AS blocked FROM (SELECT DISTINCT scene_id AS s FROM obstacles) s, range(0, 64) x(i), range(0, 64) y(j), range(0, 16) z(k) LEFT JOIN cells c ON c.scene_id = s.s AND c.i = x.i AND c.j = y.j AND c.k = z.k GROUP BY ALL")
 def grd_dense(spark, sf):
-    all_ = G.dense(spark, G.voxelize(D.obstacles(spark, sf), SHAPE, MM), SHAPE, D.SCENES)
+    own = D.obstacles(spark, sf)
+    all_ = G.dense(own.select("scene_id"), G.voxelize(own, SHAPE, MM), SHAPE)
     return all_.groupBy("scene_id", "k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("blocked"), 1)).alias("blocked"))
 
 

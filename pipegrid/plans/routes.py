@@ -20,13 +20,13 @@ MOST, ROUNDS, BLOCKERS = None, 10, 4
 
 
 def _occupied(spark, sf, without_passing: bool = False):
-    boxes = D.obstacles(spark, sf)
-    return G.voxelize(boxes.where(~B.passes_through()) if without_passing else boxes, D.SHAPE, D.CELL_MM)
+    boxes = D.routed_obstacles(spark, sf)
+    return G.voxelize(boxes.where(~B.passes_through()) if without_passing else boxes, D.ROUTED_SHAPE, D.CELL_MM)
 
 
 def _routes(spark, sf, mode: str, plan: Plan, tasks=None, **more):
     ship(spark)
-    return route_scenes(D.tasks(spark, sf) if tasks is None else tasks, _occupied(spark, sf), D.SHAPE, plan, mode, **more)
+    return route_scenes(D.routed_tasks(spark, sf) if tasks is None else tasks, _occupied(spark, sf), D.ROUTED_SHAPE, plan, mode, **more)
 
 
 def _digest(routes):
@@ -62,7 +62,7 @@ def rt_ripup(spark, sf):
 @query("rt_subset")
 def rt_subset(spark, sf):
     """The tasks of one utility group routed anew; the others keep the straight estimate as their result."""
-    own = D.tasks(spark, sf)
+    own = D.routed_tasks(spark, sf)
     fresh = _routes(spark, sf, "single", Plan(WEIGHTS, most=MOST), own.where("utility_group = 'P'")).select("task_id", "length_mm", "success")
     kept = own.select("task_id", (S.manhattan([F.col("si"), F.col("sj"), F.col("sk")], [F.col("gi"), F.col("gj"), F.col("gk")]) * D.CELL_MM).alias("before"))
     return kept.join(fresh, "task_id", "left").select("task_id", F.coalesce("length_mm", "before").alias("length_mm"), F.col("success").isNotNull().alias("routed"))
@@ -82,7 +82,7 @@ def rt_polylines(spark, sf):
     routes = _routes(spark, sf, "single", Plan(WEIGHTS, most=MOST)).select("task_id", "success", "path")
     point = lambda c: F.struct(*(S.to_world(c[x], 0.0, D.CELL_MM).alias(a) for a, x in zip("xyz", "ijk", strict=True)))
     ends = F.array(*(F.struct(*(F.col(f"{e}{a}").alias(a) for a in "xyz")) for e in "sg"))
-    own = D.tasks(spark, sf).join(routes, "task_id")
+    own = D.routed_tasks(spark, sf).join(routes, "task_id")
     line = F.when(F.col("success"), F.transform("path", point)).otherwise(ends)
     return own.select("task_id", "success", F.posexplode(line).alias("pos", "p")).select("task_id", "success", "pos", "p.x", "p.y", "p.z")
 
@@ -91,9 +91,9 @@ def rt_polylines(spark, sf):
 def compare_by_group(spark, sf):
     """Design against engine by utility group: boxes that let pipes pass are left out, routes are independent, snap 3."""
     ship(spark)
-    own = D.tasks(spark, sf)
-    routes = route_scenes(own, _occupied(spark, sf, True), D.SHAPE, Plan(WEIGHTS, snap_radius=3, most=MOST), "independent")
-    design = P.polylines(D.segment_details(spark, sf)).select(F.col("route_guid").alias("task_id"), F.aggregate(F.zip_with(F.slice("line", F.lit(2), F.size("line")), "line", lambda q, p: F.when(q.isNotNull(), S.distance([p["x"], p["y"], p["z"]], [q["x"], q["y"], q["z"]])).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x).alias("design_mm"), (F.size("line") - 2).alias("design_bends"))
+    own = D.routed_tasks(spark, sf)
+    routes = route_scenes(own, _occupied(spark, sf, True), D.ROUTED_SHAPE, Plan(WEIGHTS, snap_radius=3, most=MOST), "independent")
+    design = P.polylines(D.segment_details(spark, sf, "l_suppkey")).select(F.col("route_guid").alias("task_id"), F.aggregate(F.zip_with(F.slice("line", F.lit(2), F.size("line")), "line", lambda q, p: F.when(q.isNotNull(), S.distance([p["x"], p["y"], p["z"]], [q["x"], q["y"], q["z"]])).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x).alias("design_mm"), (F.size("line") - 2).alias("design_bends"))
     both = own.join(routes.drop("scene_id"), "task_id").join(design, "task_id", "left").withColumn("ratio", S.length_ratio(F.col("length_mm"), F.col("design_mm")))
     ok = F.col("success")
     return both.groupBy("utility_group").agg(

@@ -1,4 +1,9 @@
-"""A scene derived from the order tables: boxes, tasks, existing designs and equipment on a 64 x 64 x 16 grid of 100 mm cells."""
+"""Scenes derived from whole order tables: boxes, tasks, existing designs and equipment on grids of 100 mm cells.
+
+Every line item is a box, every order a task, every supplier a scene (with the orders of fifteen customers), so that more data make
+more scenes, not denser ones. Routes are searched in scenes of their own (every part a box, every supplier a task): a search
+costs far more than a row.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,9 @@ from pyspark.sql import functions as F
 
 from pipegrid.functions.scalars import pipe_size_mm, utility_label
 
-SHAPE, CELL_MM, SCENES = (64, 64, 16), 100.0, 4
+SHAPE, CELL_MM = (64, 64, 16), 100.0
+#: The grid of the scenes in which routes are searched, and how many suppliers share one.
+ROUTED_SHAPE, ROUTED = (32, 32, 8), 10
 
 #: Pipe sizes by customer number; fixed values.
 SIZES = ("40A", "1/2B", "1-1/4B", "65", "1/4BX1/2B", None)
@@ -19,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes with type, name and id; some have no type, some no height."""
-    own = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_partkey % 20 = 0")
+    own = read(spark, sf_dir, "lineitem")
     own = own.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus").distinct()
     shift, edge = F.when(F.col("q") % 2 == 1, 50).otherwise(0), (1 + F.col("q") % 4) * 100
     flat = F.col("l_orderkey") % 37 == 0
@@ -29,7 +36,7 @@ def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     low = {"x": F.col("l_partkey") % 64 * 100 + shift, "y": F.col("l_orderkey") * 7 % 64 * 100 + shift, "z": F.floor(F.col("l_orderkey") / 8) % 16 * 100 + shift}
     return own.select(
-        (F.col("l_suppkey") % SCENES).cast("int").alias("scene_id"), F.concat(F.lit("scene_"), (F.col("l_suppkey") % SCENES).cast("string")).alias("source_file"),
+        F.col("l_suppkey").cast("int").alias("scene_id"), F.concat(F.lit("scene_"), F.col("l_suppkey").cast("string")).alias("source_file"),
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "q", "l_returnflag", "l_linestatus").alias("object_id"), F.concat(F.lit("box "), F.col("l_partkey").cast("string")).alias("name"),
         kind.alias("ost_type"), F.when(F.col("l_linestatus") == "O", "beam_structure ").otherwise("COLUMN").alias("ddworks_type"),
         *(c.cast("double").alias(f"min_{a}") for a, c in low.items()), *((c + (F.when(flat, 0).otherwise(edge) if a == "z" else edge)).cast("double").alias(f"max_{a}") for a, c in low.items()),
@@ -38,11 +45,11 @@ def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections to route, with start and end cells and points, utility, group, size and label."""
-    own = read(spark, sf_dir, "orders").where("o_orderkey % 25 = 0")
-    n, c = F.floor(F.col("o_orderkey") / 25), F.col("o_custkey")
+    own = read(spark, sf_dir, "orders")
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
     cells = {"si": F.lit(0), "sj": c % 64, "sk": n % 16, "gi": F.lit(63), "gj": (c * 3 + n) % 64, "gk": F.floor(c / 7) % 16}
     out = own.select(
-        F.col("o_orderkey").alias("task_id"), (c % SCENES).cast("int").alias("scene_id"), *(x.cast("int").alias(a) for a, x in cells.items()),
+        F.col("o_orderkey").alias("task_id"), F.floor(c / 15).cast("int").alias("scene_id"), *(x.cast("int").alias(a) for a, x in cells.items()),
         F.when(c % 17 != 0, F.col("o_orderpriority")).alias("utility"), F.col("o_orderstatus").alias("utility_group"),
         F.get(F.array(*map(F.lit, SIZES)), (c % 6).cast("int")).alias("size_text"), F.col("o_totalprice").alias("price"),
     )
@@ -51,6 +58,32 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("label", utility_label(F.col("utility_group"), F.col("utility"))).withColumn("diameter_mm", pipe_size_mm(F.col("size_text")))
 
 
+def routed_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of the scenes in which routes are searched: one for every part, of one to three cells a side."""
+    p = F.col("p_partkey")
+    kind = F.when(p % 9 == 0, " OST_Floors ").when(p % 7 == 0, "OST_StructuralFraming").otherwise("OST_GenericModel")
+    low = {"x": p * 37 % 32, "y": F.floor(p / 3) % 32, "z": F.floor(p / 5) % 8}
+    edge = {"x": p % 3 + 1, "y": F.floor(p / 2) % 3 + 1, "z": F.floor(p / 4) % 3 + 1}
+    return read(spark, sf_dir, "part").select(
+        F.floor(p / (20 * ROUTED)).cast("int").alias("scene_id"), p.cast("string").alias("object_id"), kind.alias("ost_type"), F.when(p % 2 == 0, "beam_structure ").otherwise("COLUMN").alias("ddworks_type"),
+        *((c * CELL_MM).cast("double").alias(f"min_{a}") for a, c in low.items()), *(((low[a] + c) * CELL_MM).cast("double").alias(f"max_{a}") for a, c in edge.items()),
+    )
+
+
+def routed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connections to search routes for: one for every supplier, across the scene of its ten."""
+    s = F.col("s_suppkey")
+    cells = {"si": F.lit(0), "sj": s * 5 % 32, "sk": s % 8, "gi": F.lit(31), "gj": (s * 11 + 3) % 32, "gk": F.floor(s / 3) % 8}
+    out = read(spark, sf_dir, "supplier").select(
+        s.alias("task_id"), F.floor(s / ROUTED).cast("int").alias("scene_id"), *(x.cast("int").alias(a) for a, x in cells.items()),
+        F.when(s % 17 != 0, F.concat(F.lit("U"), (F.col("s_nationkey") % 3).cast("string"))).alias("utility"), F.get(F.array(*map(F.lit, "FOP")), (s % 3).cast("int")).alias("utility_group"),
+        F.get(F.array(*map(F.lit, SIZES)), (s % 6).cast("int")).alias("size_text"),
+    )
+    points = {"sx": "si", "sy": "sj", "sz": "sk", "gx": "gi", "gy": "gj", "gz": "gk"}
+    out = out.withColumns({p: (F.col(a) * CELL_MM + 50.0).cast("double") for p, a in points.items()})
+    return out.withColumn("label", utility_label(F.col("utility_group"), F.col("utility"))).withColumn("diameter_mm", pipe_size_mm(F.col("size_text")))
+
+
 def staircase(own: DataFrame) -> DataFrame:
     """A path per task along x, then y, then z, as rows (task_id, scene_id, pos, i, j, k)."""
     run = lambda a, b: F.sequence(F.col(a), F.col(b))
@@ -69,13 +102,13 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staircase(tasks(spark, sf_dir))
 
 
-def segment_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_details(spark: SparkSession, sf_dir: str, route: str = "l_orderkey") -> DataFrame:
     """Existing designs in pieces: route_guid, order_1, order_2, and the points from and to."""
-    own = read(spark, sf_dir, "lineitem").where("l_orderkey % 25 = 0")
+    own = read(spark, sf_dir, "lineitem")
     at = {"x": F.col("l_partkey") % 8 * 100, "y": F.col("l_suppkey") % 8 * 100, "z": F.col("l_linenumber") * 100}
     to = at | {"x": (F.col("l_partkey") + F.col("l_linenumber") % 2) % 8 * 100}
     return own.select(
-        F.col("l_orderkey").alias("route_guid"), F.col("l_linenumber").alias("order_1"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("order_2"),
+        F.col(route).alias("route_guid"), F.col("l_linenumber").alias("order_1"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("order_2"),
         *(c.cast("double").alias(f"from_{a}") for a, c in at.items()), *(c.cast("double").alias(f"to_{a}") for a, c in to.items()),
     ).distinct()
 
@@ -90,7 +123,7 @@ def equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("G").alias("utilityGroup"), F.lit("40A").alias("size"), F.when(n < 3, n != 1).alias("isConnected"), F.transform(F.sequence(F.lit(0), F.lit(2)), end).alias("endPocs"),
     )
     return own.select(
-        s.alias("eq_id"), F.col("s_name").alias("name"), (s % SCENES).cast("int").alias("scene_id"), (s % 3 == 0).alias("is_main"),
+        s.alias("eq_id"), F.col("s_name").alias("name"), s.cast("int").alias("scene_id"), (s % 3 == 0).alias("is_main"),
         (s % 60 * 100).cast("double").alias("min_x"), (s % 50 * 100).cast("double").alias("min_y"), F.lit(0.0).alias("min_z"),
         (s % 60 * 100 + 300).cast("double").alias("max_x"), (s % 50 * 100 + 200).cast("double").alias("max_y"), F.when(s % 10 == 0, 0.0).otherwise(400.0).alias("max_z"),
         F.to_json(F.transform(F.sequence(F.lit(0), F.lit(3)), poc)).alias("poc_list"),
