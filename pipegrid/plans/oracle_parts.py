@@ -2,17 +2,13 @@
 
 OBSTACLES = """
 obstacles AS (
-  SELECT CAST(l_suppkey AS INTEGER) AS scene_id, 'scene_' || l_suppkey AS source_file,
-    concat_ws('-', l_orderkey, l_partkey, l_suppkey, q, l_returnflag, l_linestatus) AS object_id, 'box ' || l_partkey AS name,
-    CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 13 = 0 THEN '' WHEN l_returnflag = 'R' THEN ' OST_Floors '
-      WHEN l_returnflag = 'A' THEN 'OST_StructuralFraming' ELSE 'OST_GenericModel' END AS ost_type,
-    CASE WHEN l_linestatus = 'O' THEN 'beam_structure ' ELSE 'COLUMN' END AS ddworks_type,
-    CAST(l_partkey % 64 * 100 + sh AS DOUBLE) AS min_x, CAST(l_orderkey * 7 % 64 * 100 + sh AS DOUBLE) AS min_y, CAST(l_orderkey // 8 % 16 * 100 + sh AS DOUBLE) AS min_z,
-    CAST(l_partkey % 64 * 100 + sh + e AS DOUBLE) AS max_x, CAST(l_orderkey * 7 % 64 * 100 + sh + e AS DOUBLE) AS max_y,
-    CAST(l_orderkey // 8 % 16 * 100 + sh + CASE WHEN l_orderkey % 37 = 0 THEN 0 ELSE e END AS DOUBLE) AS max_z
-  FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, l_returnflag, l_linestatus,
-      CASE WHEN CAST(l_quantity AS INTEGER) % 2 = 1 THEN 50 ELSE 0 END AS sh, (1 + CAST(l_quantity AS INTEGER) % 4) * 100 AS e
-    FROM lineitem))"""
+  SELECT CAST(p // 200 AS INTEGER) AS scene_id, 'scene_' || (p // 200) AS source_file, concat_ws('-', p, q) AS object_id, 'box ' || p AS name,
+    CASE WHEN p % 11 = 0 THEN NULL WHEN p % 13 = 0 THEN '' WHEN q % 3 = 0 THEN ' OST_Floors ' WHEN q % 3 = 1 THEN 'OST_StructuralFraming' ELSE 'OST_GenericModel' END AS ost_type,
+    CASE WHEN p % 2 = 0 THEN 'beam_structure ' ELSE 'COLUMN' END AS ddworks_type,
+    CAST(p % 64 * 100 + sh AS DOUBLE) AS min_x, CAST((p * 7 + p // 64 * 17) % 64 * 100 + sh AS DOUBLE) AS min_y, CAST(p // 8 % 16 * 100 + sh AS DOUBLE) AS min_z,
+    CAST(p % 64 * 100 + sh + e AS DOUBLE) AS max_x, CAST((p * 7 + p // 64 * 17) % 64 * 100 + sh + e AS DOUBLE) AS max_y,
+    CAST(p // 8 % 16 * 100 + sh + CASE WHEN p % 37 = 0 THEN 0 ELSE e END AS DOUBLE) AS max_z
+  FROM (SELECT p_partkey AS p, p_size AS q, CASE WHEN p_size % 2 = 1 THEN 50 ELSE 0 END AS sh, (1 + p_size % 4) * 100 AS e FROM part))"""
 
 VALID = "max_x > min_x AND max_y > min_y AND max_z > min_z"
 
@@ -33,11 +29,11 @@ tasks AS (
     gi * 100.0::DOUBLE + 50 AS gx, gj * 100.0::DOUBLE + 50 AS gy, gk * 100.0::DOUBLE + 50 AS gz,
     '[' || coalesce(nullif(utility_group, ''), '?') || '] ' || coalesce(nullif(utility, ''), '?') AS label,
     CAST(CASE size_text WHEN '40A' THEN 40 WHEN '1/2B' THEN 12.7 WHEN '1-1/4B' THEN 31.75 WHEN '65' THEN 65 WHEN '1/4BX1/2B' THEN 6.35 ELSE 0 END AS DOUBLE) AS diameter_mm
-  FROM (SELECT o_orderkey AS task_id, CAST(o_custkey // 15 AS INTEGER) AS scene_id, 0 AS si, CAST(o_custkey % 64 AS INTEGER) AS sj, CAST(o_orderkey % 16 AS INTEGER) AS sk,
-      63 AS gi, CAST((o_custkey * 3 + o_orderkey) % 64 AS INTEGER) AS gj, CAST(o_custkey // 7 % 16 AS INTEGER) AS gk,
-      CASE WHEN o_custkey % 17 <> 0 THEN o_orderpriority END AS utility, o_orderstatus AS utility_group,
-      ['40A', '1/2B', '1-1/4B', '65', '1/4BX1/2B', NULL][CAST(o_custkey % 6 AS INTEGER) + 1] AS size_text, o_totalprice AS price
-    FROM orders))"""
+  FROM (SELECT c_custkey AS task_id, CAST(c_custkey // 150 AS INTEGER) AS scene_id, 0 AS si, CAST(c_custkey % 64 AS INTEGER) AS sj, CAST(c_custkey % 16 AS INTEGER) AS sk,
+      63 AS gi, CAST((c_custkey * 3 + c_custkey // 5) % 64 AS INTEGER) AS gj, CAST(c_custkey // 7 % 16 AS INTEGER) AS gk,
+      CASE WHEN c_custkey % 17 <> 0 THEN ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][CAST(c_custkey % 5 AS INTEGER) + 1] END AS utility, ['F', 'O', 'P'][CAST(c_custkey % 3 AS INTEGER) + 1] AS utility_group,
+      ['40A', '1/2B', '1-1/4B', '65', '1/4BX1/2B', NULL][CAST(c_custkey % 6 AS INTEGER) + 1] AS size_text, abs(c_acctbal) * 30 + 10 AS price
+    FROM customer))"""
 
 PATHS = """
 paths AS (

@@ -1,8 +1,8 @@
 """Scenes derived from whole order tables: boxes, tasks, existing designs and equipment on grids of 100 mm cells.
 
-Every line item is a box, every order a task, every supplier a scene (with the orders of fifteen customers), so that more data make
-more scenes, not denser ones. Routes are searched in scenes of their own (every part a box, every supplier a task): a search
-costs far more than a row.
+Every part is a box, every customer a task, every line item a piece of an existing design, every supplier an equipment. A scene has
+200 parts and 150 customers, so that more data make more scenes, not denser ones. Routes are searched in smaller scenes of
+their own (every part a box, every supplier a task): a search costs far more than a row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ SHAPE, CELL_MM = (64, 64, 16), 100.0
 #: The grid of the scenes in which routes are searched, and how many suppliers share one.
 ROUTED_SHAPE, ROUTED = (32, 32, 8), 10
 
-#: Pipe sizes by customer number; fixed values.
+#: Utilities and pipe sizes by customer number; fixed values.
+UTILITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 SIZES = ("40A", "1/2B", "1-1/4B", "65", "1/4BX1/2B", None)
 
 
@@ -25,33 +26,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes with type, name and id; some have no type, some no height."""
-    own = read(spark, sf_dir, "lineitem")
-    own = own.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus").distinct()
-    shift, edge = F.when(F.col("q") % 2 == 1, 50).otherwise(0), (1 + F.col("q") % 4) * 100
-    flat = F.col("l_orderkey") % 37 == 0
-    kind = (
-        F.when(F.col("l_suppkey") % 11 == 0, F.lit(None)).when(F.col("l_suppkey") % 13 == 0, "")
-        .when(F.col("l_returnflag") == "R", " OST_Floors ").when(F.col("l_returnflag") == "A", "OST_StructuralFraming").otherwise("OST_GenericModel")
-    )
-    low = {"x": F.col("l_partkey") % 64 * 100 + shift, "y": F.col("l_orderkey") * 7 % 64 * 100 + shift, "z": F.floor(F.col("l_orderkey") / 8) % 16 * 100 + shift}
-    return own.select(
-        F.col("l_suppkey").cast("int").alias("scene_id"), F.concat(F.lit("scene_"), F.col("l_suppkey").cast("string")).alias("source_file"),
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "q", "l_returnflag", "l_linestatus").alias("object_id"), F.concat(F.lit("box "), F.col("l_partkey").cast("string")).alias("name"),
-        kind.alias("ost_type"), F.when(F.col("l_linestatus") == "O", "beam_structure ").otherwise("COLUMN").alias("ddworks_type"),
-        *(c.cast("double").alias(f"min_{a}") for a, c in low.items()), *((c + (F.when(flat, 0).otherwise(edge) if a == "z" else edge)).cast("double").alias(f"max_{a}") for a, c in low.items()),
+    """Boxes with type, name and id, one for every part; some have no type, some no height."""
+    p, q = F.col("p_partkey"), F.col("p_size").cast("int")
+    shift, edge = F.when(q % 2 == 1, 50).otherwise(0), (1 + q % 4) * 100
+    kind = F.when(p % 11 == 0, F.lit(None)).when(p % 13 == 0, "").when(q % 3 == 0, " OST_Floors ").when(q % 3 == 1, "OST_StructuralFraming").otherwise("OST_GenericModel")
+    low = {"x": p % 64 * 100 + shift, "y": (p * 7 + F.floor(p / 64) * 17) % 64 * 100 + shift, "z": F.floor(p / 8) % 16 * 100 + shift}
+    scene = F.floor(p / 200)
+    return read(spark, sf_dir, "part").select(
+        scene.cast("int").alias("scene_id"), F.concat(F.lit("scene_"), scene.cast("string")).alias("source_file"), F.concat_ws("-", "p_partkey", "p_size").alias("object_id"), F.concat(F.lit("box "), p.cast("string")).alias("name"),
+        kind.alias("ost_type"), F.when(p % 2 == 0, "beam_structure ").otherwise("COLUMN").alias("ddworks_type"),
+        *(c.cast("double").alias(f"min_{a}") for a, c in low.items()), *((c + (F.when(p % 37 == 0, 0).otherwise(edge) if a == "z" else edge)).cast("double").alias(f"max_{a}") for a, c in low.items()),
     )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections to route, with start and end cells and points, utility, group, size and label."""
-    own = read(spark, sf_dir, "orders")
-    n, c = F.col("o_orderkey"), F.col("o_custkey")
-    cells = {"si": F.lit(0), "sj": c % 64, "sk": n % 16, "gi": F.lit(63), "gj": (c * 3 + n) % 64, "gk": F.floor(c / 7) % 16}
-    out = own.select(
-        F.col("o_orderkey").alias("task_id"), F.floor(c / 15).cast("int").alias("scene_id"), *(x.cast("int").alias(a) for a, x in cells.items()),
-        F.when(c % 17 != 0, F.col("o_orderpriority")).alias("utility"), F.col("o_orderstatus").alias("utility_group"),
-        F.get(F.array(*map(F.lit, SIZES)), (c % 6).cast("int")).alias("size_text"), F.col("o_totalprice").alias("price"),
+    """Connections to route, one for every customer, with start and end cells and points, utility, group, size and label."""
+    c = F.col("c_custkey")
+    cells = {"si": F.lit(0), "sj": c % 64, "sk": c % 16, "gi": F.lit(63), "gj": (c * 3 + F.floor(c / 5)) % 64, "gk": F.floor(c / 7) % 16}
+    one = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    out = read(spark, sf_dir, "customer").select(
+        c.alias("task_id"), F.floor(c / 150).cast("int").alias("scene_id"), *(x.cast("int").alias(a) for a, x in cells.items()),
+        F.when(c % 17 != 0, one(UTILITIES, c % 5)).alias("utility"), one("FOP", c % 3).alias("utility_group"), one(SIZES, c % 6).alias("size_text"), (F.abs("c_acctbal") * 30 + 10).alias("price"),
     )
     points = {"sx": "si", "sy": "sj", "sz": "sk", "gx": "gi", "gy": "gj", "gz": "gk"}
     out = out.withColumns({p: (F.col(a) * CELL_MM + 50.0).cast("double") for p, a in points.items()})
