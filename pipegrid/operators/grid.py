@@ -109,6 +109,17 @@ def mark_pipe(cells: DataFrame, path: DataFrame, radius: int, shape) -> DataFram
     return taken.distinct()
 
 
+def add_corridor(corridor: DataFrame, path: DataFrame, radius: int, shape) -> DataFrame:
+    """corridor with the paths and radius steps around them, through any cell of the grid that is not in it yet."""
+    keys = ["scene_id", *CELL]
+    edge = path.select(keys).distinct()
+    taken = corridor.select(keys).unionByName(edge)
+    for _ in range(radius):
+        edge = inflate(edge, 1, 6, shape).select(keys).join(taken, keys, "left_anti")
+        taken = taken.unionByName(edge)
+    return taken.distinct()
+
+
 def snap(probes: DataFrame, cells: DataFrame, radius: int, shape, keep_blocked: bool = True) -> DataFrame:
     """probes (probe_id, scene_id, i, j, k) with the nearest free cell within radius (per axis), as ni, nj, nk.
 

@@ -123,10 +123,11 @@ def _offsets(grid: Grid) -> list[int]:
     return [di * a + dj * b + dk for di, dj, dk in NEIGHBOURS]
 
 
-def search(grid: Grid, start, goal, cell_mm: float, most: int | None = None, allowed: np.ndarray | None = None) -> Route:
+def search(grid: Grid, start, goal, cell_mm: float, most: int | None = None, allowed: np.ndarray | None = None, trace: list | None = None) -> Route:
     """The shortest path (A*, equal cost per step); of equal estimates the one found first goes on.
 
-    most: expansions after which to give up (None: never). allowed: the cells to search in (None: all free cells).
+    most: expansions after which to give up (None: never). allowed: the cells to search in (None: all free cells). trace: gets
+    the cells in the order of their expansion.
     """
     if grid.is_blocked(start) or grid.is_blocked(goal):
         return Route(False)
@@ -146,6 +147,8 @@ def search(grid: Grid, start, goal, cell_mm: float, most: int | None = None, all
             continue
         closed.add(x)
         expanded += 1
+        if trace is not None:
+            trace.append(_cell(grid, x))
         if x == last:
             path = [x]
             while path[-1] != first:
@@ -165,6 +168,60 @@ def search(grid: Grid, start, goal, cell_mm: float, most: int | None = None, all
     return Route(False, expanded=expanded)
 
 
+def search_world(grid: Grid, start_mm, goal_mm, cell_mm: float, origin=(0.0, 0.0, 0.0), most: int | None = None, params: Params | None = None) -> Route:
+    """A search between two points in mm: the shortest path, or with params the one of least cost."""
+    a, b = (tuple(math.floor((x - o) / cell_mm) for x, o in zip(p, origin, strict=True)) for p in (start_mm, goal_mm))
+    return search(grid, a, b, cell_mm, most) if params is None else search_weighted(grid, a, b, params, most)
+
+
+def search_sparse(shape, blocked, start, goal, cell_mm: float, most: int | None = None, allowed=None) -> Route:
+    """search without arrays over the grid: blocked is a set of cells, allowed a test of a cell (None: any).
+
+    Time and memory follow the cells that are reached, so grids of any size (shape: any three numbers) can be searched.
+    """
+    free = lambda c: all(0 <= x < n for x, n in zip(c, shape, strict=True)) and c not in blocked
+    start, goal = tuple(start), tuple(goal)
+    if not (free(start) and free(goal)):
+        return Route(False)
+    left = lambda c: sum(abs(x - y) for x, y in zip(c, goal, strict=True)) * cell_mm
+    cost, came, closed, queue, n, expanded = {start: 0.0}, {}, set(), [(left(start), 0, start)], 1, 0
+    while queue:
+        c = heapq.heappop(queue)[2]
+        if c in closed:
+            continue
+        closed.add(c)
+        expanded += 1
+        if c == goal:
+            path = [c]
+            while path[-1] in came:
+                path.append(came[path[-1]])
+            path.reverse()
+            length = (len(path) - 1) * cell_mm
+            return Route(True, path, length, length, count_turns(path), expanded)
+        if most is not None and expanded >= most:
+            break
+        reach = cost[c] + cell_mm
+        for d in NEIGHBOURS:
+            y = (c[0] + d[0], c[1] + d[1], c[2] + d[2])
+            if y not in closed and free(y) and (allowed is None or allowed(y)) and reach < cost.get(y, math.inf):
+                cost[y], came[y] = reach, c
+                heapq.heappush(queue, (reach + left(y), n, y))
+                n += 1
+    return Route(False, expanded=expanded)
+
+
+def route_tube_sparse(shape, blocked, start, goal, cell_mm: float, factor: int, radius: int, most: int | None = None) -> tuple[Route, Route]:
+    """route_tube without arrays over the grid; fine, coarse."""
+    coarse = {tuple(x // factor for x in c) for c in blocked}
+    small = tuple(-(-n // factor) for n in shape)
+    rough = search_sparse(small, coarse, tuple(x // factor for x in start), tuple(x // factor for x in goal), cell_mm * factor, most)
+    if not rough.success:
+        return Route(False), rough
+    near = range(-radius, radius + 1)
+    tube = {(i + a, j + b, k + c) for i, j, k in rough.path for a in near for b in near for c in near}
+    return search_sparse(shape, blocked, start, goal, cell_mm, most, lambda c: (c[0] // factor, c[1] // factor, c[2] // factor) in tube), rough
+
+
 def penalties(grid: Grid, params: Params, corridor: set | None = None) -> list[float]:
     """What entering each padded cell costs beyond its length: nearness to obstacles, its level, being off the corridor."""
     out = np.zeros(grid.shape)
@@ -184,8 +241,11 @@ def penalties(grid: Grid, params: Params, corridor: set | None = None) -> list[f
     return np.pad(out, 1).ravel().tolist()
 
 
-def search_weighted(grid: Grid, start, goal, params: Params, most: int | None = None, corridor: set | None = None) -> Route:
-    """The path of least cost, with a state per cell and direction of entry, so that turns cost w_turn."""
+def search_weighted(grid: Grid, start, goal, params: Params, most: int | None = None, corridor: set | None = None, trace: list | None = None) -> Route:
+    """The path of least cost, with a state per cell and direction of entry, so that turns cost w_turn.
+
+    trace: gets the cells in the order of their expansion, a cell as often as states of it are expanded.
+    """
     if grid.is_blocked(start) or grid.is_blocked(goal):
         return Route(False)
     if tuple(start) == tuple(goal):
@@ -203,6 +263,8 @@ def search_weighted(grid: Grid, start, goal, params: Params, most: int | None =
         closed.add(s)
         expanded += 1
         x, way = divmod(s, 7)
+        if trace is not None:
+            trace.append(_cell(grid, x))
         if x == last:
             total, path = cost[s], [x]
             while s in came:

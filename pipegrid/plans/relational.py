@@ -435,6 +435,36 @@ def set_labels(spark, sf):
     return D.tasks(spark, sf).select("label").unionByName(design).distinct()
 
 
+@query("set_corridor", having(OBSTACLES, CELLS, TASKS, PATHS).rstrip() + ", seed AS (SELECT DISTINCT p.scene_id, i, j, k FROM paths p JOIN tasks t USING (task_id) WHERE t.utility IS NULL), own AS (SELECT DISTINCT p.scene_id, i, j, k FROM paths p JOIN tasks t USING (task_id) WHERE t.utility = '1-URGENT'), g AS (SELECT scene_id, i + a.d AS i, j + b.d AS j, k + e.d AS k FROM own, range(-1, 2) a(d), range(-1, 2) b(d), range(-1, 2) e(d) WHERE abs(a.d) + abs(b.d) + abs(e.d) <= 1) SELECT scene_id, i, j, k FROM seed UNION SELECT scene_id, CAST(i AS INTEGER), CAST(j AS INTEGER), CAST(k AS INTEGER) FROM g WHERE i BETWEEN 0 AND 63 AND j BETWEEN 0 AND 63 AND k BETWEEN 0 AND 15")
+def set_corridor(spark, sf):
+    """The paths of tasks without a utility, and those of one utility with the cells around them."""
+    own, path = D.tasks(spark, sf), D.paths(spark, sf)
+    of = lambda which: path.join(own.where(which).select("task_id"), "task_id", "left_semi")
+    return G.add_corridor(of("utility is null"), of("utility = '1-URGENT'"), 1, SHAPE)
+
+
+@query("flt_layers", having(OBSTACLES) + f"SELECT object_id, layer FROM (SELECT object_id, CASE WHEN NOT ({VALID}) THEN 'hidden' WHEN {PASSES} THEN 'passes' ELSE 'obstacles' END AS layer FROM obstacles) WHERE layer IN ('passes', 'obstacles')")
+def flt_layers(spark, sf):
+    """Boxes of the layers that are switched on."""
+    layer = F.when(~S.valid_box(), "hidden").when(B.passes_through(), "passes").otherwise("obstacles")
+    return D.obstacles(spark, sf).select("object_id", layer.alias("layer")).where(F.col("layer").isin("passes", "obstacles"))
+
+
+@query("j_design", "SELECT l.l_orderkey AS segment_guid, c.c_custkey AS route_guid, s.s_name AS owner, CAST(l.l_linenumber AS INTEGER) AS detail_order, CAST(l.l_partkey % 8 * 100 AS DOUBLE) AS from_x, CAST(l.l_suppkey % 8 * 100 AS DOUBLE) AS from_y, CAST(l.l_linenumber * 100 AS DOUBLE) AS from_z FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = c.c_custkey % 10 WHERE s.s_suppkey % 3 = 0 AND l.l_partkey % 8 * 100 BETWEEN s.s_suppkey % 60 * 100 - 1000 AND s.s_suppkey % 60 * 100 + 300 + 1000")
+def j_design(spark, sf):
+    """Pieces, segments, routes and their main equipment in one join; only pieces near the equipment's box."""
+    pieces = D.read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("segment_guid"), F.col("l_linenumber").cast("int").alias("detail_order"),
+        *(c.cast("double").alias(f"from_{a}") for a, c in {"x": F.col("l_partkey") % 8 * 100, "y": F.col("l_suppkey") % 8 * 100, "z": F.col("l_linenumber") * 100}.items()),
+    )
+    segments = D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_guid"), F.col("o_custkey").alias("route_guid"))
+    routes = D.read(spark, sf, "customer").select(F.col("c_custkey").alias("route_guid"), (F.col("c_custkey") % 10).alias("eq_id"))
+    owners = D.equipment(spark, sf).where("is_main").select("eq_id", F.col("name").alias("owner"), "min_x", "max_x")
+    both = pieces.join(segments, "segment_guid").join(routes, "route_guid").join(owners, "eq_id")
+    near = both.where((F.col("from_x") >= F.col("min_x") - 1000) & (F.col("from_x") <= F.col("max_x") + 1000))
+    return near.select("segment_guid", "route_guid", "owner", "detail_order", "from_x", "from_y", "from_z")
+
+
 # --- grid
 
 _BALL = "SELECT c.scene_id, c.i + a.d AS i, c.j + b.d AS j, c.k + e.d AS k, {far} AS d FROM cells c, range(-{r}, {r} + 1) a(d), range(-{r}, {r} + 1) b(d), range(-{r}, {r} + 1) e(d) WHERE {far} <= {r}"
