@@ -341,8 +341,10 @@ def across_components(sized: DataFrame, bodies: DataFrame, least: int, group: in
     met = told.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, _SHARE)
     rows = told.unionByName(met).groupBy("block").applyInArrow(_prefix, "c long, h long").join(opened.select("c", "label", "block"), "c")
     rows = cut(rows)
-    most = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("h").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
-    few = rows.join(most, "h").where("label <> most").select("h", F.col("c").alias("x"))
+    # told apart by shingle and component, so that the many members of a shingle's largest component meet nothing by shingle alone
+    counts = cut(rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("many")))
+    most = counts.groupBy("h").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
+    few = rows.join(counts.join(most, "h").where("label <> most").select("h", "label"), ["h", "label"]).select("h", F.col("c").alias("x"))
     meets = few.join(rows.select("h", "block").distinct(), "h").select("x", "block").distinct()
     counts = meets.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("shares"))
     some = meets.join(counts, "block").select("x", "block", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"))
