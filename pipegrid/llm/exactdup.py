@@ -175,9 +175,9 @@ def _mail(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.string()), pa.array(d, pa.binary())], names=["target", "source", "kind", "body"])
 
 
-def _tell(n: int):
+def _tell(n: int, part: str):
     def run(t: pa.Table) -> pa.Table:
-        e, own = Entries(t), t.column("part")[0].as_py()
+        e, own = Entries(t), t.column(part)[0].as_py()
         edges = e.bucket_edges(n).tolist()
         # 40 bits of the anchor, as steps, and the whole context: more anchors than one under a name do no harm
         anchor, context = (e.anchor >> _U(24)).astype(np.int64), e.context.view(np.int64)
@@ -235,14 +235,14 @@ def _deal(kind: str, bucket: int, source: np.ndarray, *arrays: np.ndarray) -> li
     return [(int(source[a]), bucket, kind, _zip(*(x[a:b] for x in arrays))) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
 
-def _send(n: int, parts: int):
+def _send(n: int, parts: int, part: str):
     """A block's bytes for the contexts that buckets asked for."""
 
     def run(t: pa.Table, mail: pa.Table) -> pa.Table:
         asked = [r for r in mail.to_pylist() if r["kind"] == "want"]
         if not asked or not t.num_rows:
             return _mail([])
-        e, own, rows = Entries(t), t.column("part")[0].as_py(), []
+        e, own, rows = Entries(t), t.column(part)[0].as_py(), []
         edges = e.bucket_edges(n)
         for r in asked:
             (index,) = _unzip(r["body"], 1)
@@ -432,15 +432,22 @@ def _rewrite(n: int, names: list[str]):
 
 
 def _judged(docs: DataFrame, last, schema) -> DataFrame:
-    """Every block of docs (doc_id, text, part and more) with the verdicts of all buckets, through last."""
+    """Every block of docs (doc_id, text and more) with the verdicts of all buckets, through last.
+
+    Which block a row is in makes no difference, so rows that share a doc_id, or have none, are dealt by their text as well,
+    and equal rows by the partition that they are read in.
+    """
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     n, parts = max(4, -(-size // _BUCKET)), max(8, -(-size // _BLOCK))
-    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    blocks = plain.groupBy("part")
-    told = blocks.applyInArrow(_tell(n), _MAIL)
+    part = "part"
+    while part in {c.lower() for c in docs.columns}:
+        part += "_"
+    plain = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    blocks = plain.withColumn(part, F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int")).groupBy(part)
+    told = blocks.applyInArrow(_tell(n, part), _MAIL)
     met = told.groupBy("target").applyInArrow(_meet(parts), _MAIL)
     fresh = lambda df: df.select(F.col("target").alias("to"), F.col("source").alias("source"), F.col("kind").alias("kind"), F.col("body").alias("body"))
-    sent = blocks.cogroup(fresh(met).groupBy("to")).applyInArrow(_send(n, parts), _MAIL)
+    sent = blocks.cogroup(fresh(met).groupBy("to")).applyInArrow(_send(n, parts, part), _MAIL)
     solved = met.where("kind = 'keep'").unionByName(sent).groupBy("target").applyInArrow(_solve(), _MAIL)
     back = met.where("kind = 'single'").unionByName(solved)
     return blocks.cogroup(fresh(back).groupBy("to")).applyInArrow(last(n), schema)
@@ -453,7 +460,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the same columns (among them doc_id, a long, and text; none named part), each text without repeated passages."""
+    """docs with the same columns (among them doc_id, a long, and text), each text without repeated passages."""
     return _judged(docs, lambda n: _rewrite(n, docs.columns), docs.schema)
 
 

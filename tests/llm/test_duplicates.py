@@ -131,6 +131,38 @@ def test_repeats_in_a_few_letters(spark):
     assert got == removed(texts)
 
 
+def test_many_rows_without_an_id(spark):
+    """Null and repeated ids are dealt to many blocks; a column named part goes through."""
+    texts = [(None, passage(n % 40, 40)) for n in range(120)] + [(7, passage(n % 60, 30)) for n in range(90)] + [(n, passage(n, 50)) for n in range(20, 60)]
+    own = spark.createDataFrame(rows(texts), SCHEMA)
+    got = Counter((r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"])) for r in exactdup.remove_repeats(own).collect())
+    assert got == removed(texts)
+    cut = exactdup.without_repeats(own)
+    assert cut.columns == own.columns and Counter((r["doc_id"], r["text"]) for r in cut.collect()) == Counter([(i, raw.decode(errors="ignore")) for (i, _, _, raw), n in removed(texts).items() for _ in range(n)])
+    assert {r["part"] for r in cut.collect()} == {"p"}
+
+
+def test_a_common_string_with_many_contexts():
+    """An anchor that has more contexts than are merged at once is split into windows, with the same result."""
+    r = np.random.default_rng(5)
+    texts_, count, rel, doc, name = [], [], [], [], []
+    for g, size in enumerate((400, 30, 30, 120)):
+        gram = r.integers(97, 100, 25)
+        for _ in range(size):
+            left, right = 25 - r.integers(0, 8), 25 - r.integers(0, 8)
+            own = np.concatenate([r.integers(97, 99, left), gram, r.integers(97, 99, right)]).astype(np.uint8)
+            texts_.append(np.pad(own, (0, 75 - len(own)))), count.append(len(own) - 49), rel.append(left), doc.append(int(r.integers(0, 60))), name.append(g)
+    given = [np.array(x) for x in (texts_, count, rel, doc, name)]
+    low = {}
+    for t, n, p, d, g in zip(*given, strict=True):
+        for o in range(n):
+            key = (g, p - o, t[o : o + 50].tobytes())
+            low[key] = min(low.get(key, 99), d)
+    want = [low[g, p - o, t[o : o + 50].tobytes()] for t, n, p, _, g in zip(*given, strict=True) for o in range(n)]
+    for most in (10_000, 100, 25):
+        assert exactdup.solve_parts(*given, most).tolist() == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.text("abc", min_size=1, max_size=12), min_size=1, max_size=5), min_size=1, max_size=4), st.integers(1, 9))
 def test_merged_order_and_blocks(shards, depth):
