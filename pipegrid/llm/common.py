@@ -51,12 +51,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rewrite(docs: DataFrame, run) -> DataFrame:
-    """docs with the same columns, each block of rows through run (an Arrow table to one with the same columns)."""
+def rewrite(docs: DataFrame, run, limit: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the same columns, each block of rows (of limit bytes of text) through run (an Arrow table to one with the same columns)."""
     names = docs.columns
 
     def each(batches):
-        for t in blocks(batches):
+        for t in blocks(batches, limit):
             for batch in run(t).select(names).combine_chunks().to_batches():
                 yield batch
 

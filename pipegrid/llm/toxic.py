@@ -322,7 +322,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
     """The rows of docs, with all columns (a null text as empty), whose score is under least."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rewrite(docs, lambda t: t.filter(pa.array(shared.value.score(*utf8(t.column("text")))[0] < least)))
+    return rewrite(docs, lambda t: t.filter(pa.array(shared.value.score(*utf8(t.column("text")))[0] < least)), _BLOCK)
 
 
 def op6_toxicity(spark, sf_dir: str, least: float = 0.7) -> DataFrame:
