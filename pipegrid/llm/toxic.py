@@ -3,8 +3,9 @@
 A text's terms are its words (runs of ASCII letters and digits and of bytes above 127, letters of Latin-1 lower-cased) and the first
 four and six bytes of longer words. Examples are a sample of the labelled documents, at most ``most_toxic`` and ``most_clean`` of each
 label, those with the smallest hashes of their doc_id. The vocabulary holds the terms of at least three examples that tell the
-labels apart best, by rank of chi-square over the examples: as many as there are examples (more would tell noise apart), at
-most ``most_terms``. Their document frequencies are counted over the whole corpus. A text's vector is TF-IDF over the
+labels apart best, by rank of chi-square over the examples: as many as chance would hardly give (a chi-square that one term in
+all would reach by chance), or one for every 3,500 pairs of examples if these are more (further terms help where examples
+are many), at least five and at most ``most_terms``. Their document frequencies are counted over the whole corpus. A text's vector is TF-IDF over the
 vocabulary, of length one, and its evidence the k examples of the largest exact cosine.
 
 The examples stand in an inverted index by blocks of 64. For each term and block the largest weight is known, which bounds a
@@ -21,6 +22,8 @@ table gives an empty table, and columns besides doc_id and text are ignored: the
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -254,7 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     c, d = n1 - a, n0 - b
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(n1, 1))) * F.lit(float(max(n0, 1))))
     picked = found.where("ab >= 3").withColumn("chi", F.when(c + d > 0, chi).otherwise(0.0)).where(F.col("chi") >= least)
-    vocabulary = np.array(sorted(r["term"] & ((1 << 64) - 1) for r in picked.orderBy(F.desc("chi"), "term").limit(min(most_terms, n1 + n0)).collect()), dtype=_U)
+    picked = cut(picked.select("term", "chi"))
+    rare = NormalDist().inv_cdf(1 - 0.5 / max(2, picked.count())) ** 2
+    wanted = min(most_terms, max(5, picked.where(F.col("chi") >= rare).count(), (n1 + n0) ** 2 // 3500))
+    vocabulary = np.array(sorted(r["term"] & ((1 << 64) - 1) for r in picked.orderBy(F.desc("chi"), "term").limit(wanted).collect()), dtype=_U)
     df = np.zeros(len(vocabulary))
     plain = texts(docs)
     for r in plain.mapInArrow(_frequencies(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
