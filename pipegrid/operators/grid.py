@@ -20,9 +20,17 @@ def check_grid(shape: tuple[int, int, int], cell_mm: float, limit: int = CELLS_L
         raise ValueError(f"the grid has more than {limit} cells")
 
 
+def by_scene(df: DataFrame) -> DataFrame:
+    """df dealt by scene, in as many parts as spark.sql.shuffle.partitions says: before rows become many, which no size estimate sees.
+
+    Groups by scene and cell then need no further shuffle; the number is given, so that small parts are not put together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene_id")
+
+
 def box_cells(boxes: DataFrame, shape: tuple[int, int, int], cell_mm: float, origin=(0.0, 0.0, 0.0), keep: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """The cells of each box (half-open, clipped to the grid) with the columns keep; boxes without extent have none."""
-    out = boxes.where(valid_box())
+    out = by_scene(boxes.where(valid_box()))
     for a, c, o, n in zip("xyz", CELL, origin, shape, strict=True):
         first, last = cell_range(F.col(f"min_{a}"), F.col(f"max_{a}"), o, cell_mm, n)
         out = out.withColumn(f"{c}0", first).withColumn(f"{c}1", last).where(F.col(f"{c}0") < F.col(f"{c}1"))
@@ -72,19 +80,17 @@ def clearance(cells: DataFrame, radius: int, connectivity: int, shape) -> DataFr
     return near.groupBy("scene_id", *CELL).agg(F.min("d").alias("d"))
 
 
-def every_cell(scenes: DataFrame, shape) -> DataFrame:
-    """All cells of the scenes (rows of scene_id)."""
-    check_grid(shape, 1.0)
-    out = scenes.select("scene_id").distinct()
-    for c, n in zip(CELL, shape, strict=True):
-        out = out.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out
-
-
 def dense(scenes: DataFrame, cells: DataFrame, shape) -> DataFrame:
-    """All cells of the scenes with blocked."""
-    keys = ["scene_id", *CELL]
-    return every_cell(scenes, shape).join(cells.withColumn("blocked", F.lit(True)), keys, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    """All cells of the scenes (rows of scene_id) with blocked. Joined by words of 64 cells, so that no cell is sorted or moved alone."""
+    check_grid(shape, 1.0)
+    n, (_, ny, nz) = shape[0] * shape[1] * shape[2], shape
+    inside = cells.where(in_bounds(F.col("i"), F.col("j"), F.col("k"), shape)).select("scene_id", ((F.col("i") * ny + F.col("j")) * nz + F.col("k")).alias("p"))
+    taken = inside.groupBy("scene_id", F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
+    words = by_scene(scenes.select("scene_id").distinct()).withColumn("word", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 64))))
+    out = words.join(taken.hint("merge"), ["scene_id", "word"], "left").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    out = out.select("scene_id", (F.col("word") * 64 + F.col("b")).alias("p"), F.coalesce(F.expr("shiftrightunsigned(bits, b) & 1") == 1, F.lit(False)).alias("blocked")).where(F.col("p") < n)
+    cell = {"i": F.expr(f"p div {ny * nz}"), "j": F.expr(f"p div {nz}") % ny, "k": F.col("p") % nz}
+    return out.select("scene_id", *(c.cast("int").alias(a) for a, c in cell.items()), "blocked")
 
 
 def blocked(probes: DataFrame, cells: DataFrame, shape) -> DataFrame:
