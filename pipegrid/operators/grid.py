@@ -95,7 +95,7 @@ def dense(scenes: DataFrame, cells: DataFrame, shape) -> DataFrame:
 
 def blocked(probes: DataFrame, cells: DataFrame, shape) -> DataFrame:
     """probes with blocked: outside the grid, or occupied."""
-    found = probes.join(cells.select("scene_id", *CELL).withColumn("hit", F.lit(True)), ["scene_id", *CELL], "left")
+    found = probes.join(cells.select("scene_id", *CELL).withColumn("hit", F.lit(True)).hint("merge"), ["scene_id", *CELL], "left")
     return found.withColumn("blocked", ~in_bounds(F.col("i"), F.col("j"), F.col("k"), shape) | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
@@ -132,11 +132,13 @@ def snap(probes: DataFrame, cells: DataFrame, radius: int, shape, keep_blocked:
     Nearest by manhattan distance, then by offset. A free cell snaps to itself; without any, the cell itself or null.
     """
     steps = sorted(((sum(map(abs, d)), *d) for d in product(range(-radius, radius + 1), repeat=3)))
-    offsets = F.array(*(F.struct(*(F.lit(x).alias(a) for x, a in zip(o, ("d", "di", "dj", "dk"), strict=True))) for o in steps))
-    near = probes.withColumn("o", F.explode(offsets)).select("probe_id", "scene_id", F.col("o").alias("o"), *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in CELL))
-    free = near.where(in_bounds(F.col("i"), F.col("j"), F.col("k"), shape)).join(cells.select("scene_id", *CELL), ["scene_id", *CELL], "left_anti")
+    offsets, own = (F.array(*(F.struct(*(F.lit(x).alias(a) for x, a in zip(o, ("d", "di", "dj", "dk"), strict=True))) for o in some)) for some in (steps, steps[:1]))
+    taken = cells.select("scene_id", *CELL)
+    told = blocked(probes.select("probe_id", "scene_id", *CELL), taken.distinct(), shape)  # a free cell needs no others
+    near = told.withColumn("o", F.explode(F.when(F.col("blocked"), offsets).otherwise(own))).select("probe_id", "scene_id", "o", *((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in CELL))
+    free = near.where(in_bounds(F.col("i"), F.col("j"), F.col("k"), shape)).join(taken.hint("merge"), ["scene_id", *CELL], "left_anti")
     best = free.groupBy("probe_id").agg(F.min_by(F.struct(*CELL), F.col("o")).alias("n"))
-    out = probes.join(best, "probe_id", "left")
+    out = probes.join(best.hint("merge"), "probe_id", "left")
     return out.select(*probes.columns, *((F.coalesce(F.col(f"n.{c}"), F.col(c)) if keep_blocked else F.col(f"n.{c}")).alias(f"n{c}") for c in CELL))
 
 

@@ -13,7 +13,7 @@ from pipegrid.sources import derived as D
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["grd_dense"])
+@pytest.mark.parametrize("name", ["grd_dense", "j_snap_or_null"])
 def test_cells_are_not_broadcast(spark, name):
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
@@ -24,3 +24,17 @@ def test_dense_of_a_shape_that_words_do_not_fill(spark):
     cells = spark.createDataFrame(sorted(taken), "scene_id int, i int, j int, k int")
     got = [tuple(r) for r in G.dense(spark.createDataFrame([(1,), (2,), (2,), (4,)], "scene_id int"), cells, shape).collect()]
     assert sorted(got) == [(s, *c, (s, *c) in taken) for s in (1, 2, 4) for c in product(*map(range, shape))]
+
+
+def test_snap_among_free_blocked_and_outer_cells(spark):
+    shape, taken = (6, 5, 4), {(1, *c) for c in product(range(5), range(5), range(4)) if c != (2, 2, 1)} | {(2, 0, 0, 0)}
+    probes = [(1, 1, 2, 2, 1), (2, 1, 1, 1, 1), (3, 1, 0, 0, 0), (4, 2, 0, 0, 0), (5, 2, 3, 3, 3), (6, 2, -1, 0, 0), (7, 2, 9, 9, 9)]
+
+    def nearest(s, *c):
+        found = [(sum(map(abs, o)), *o) for o in product(range(-1, 2), repeat=3) if all(0 <= x + d < n for x, d, n in zip(c, o, shape, strict=True)) and (s, *(x + d for x, d in zip(c, o, strict=True))) not in taken]
+        return tuple(x + d for x, d in zip(c, min(found)[1:], strict=True)) if found else (None,) * 3
+
+    rows = spark.createDataFrame(probes, "probe_id int, scene_id int, i int, j int, k int")
+    cells = spark.createDataFrame(sorted(taken), "scene_id int, i int, j int, k int")
+    got = G.snap(rows, cells, 1, shape, keep_blocked=False).select("probe_id", "ni", "nj", "nk").collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == {p: nearest(*rest) for p, *rest in probes}
