@@ -109,8 +109,10 @@ def mark_pipe(cells: DataFrame, path: DataFrame, radius: int, shape) -> DataFram
     keys = ["scene_id", *CELL]
     edge = path.select(keys).distinct()
     taken = cells.select(keys).unionByName(edge)
-    for _ in range(radius):
-        edge = inflate(edge, 1, 6, shape).select(keys).join(taken, keys, "left_anti")
+    for n in range(radius):
+        edge = inflate(edge, 1, 6, shape).select(keys)
+        if n + 1 < radius:  # of the last round only new cells are left by the distinct
+            edge = edge.join(taken.hint("merge"), keys, "left_anti")
         taken = taken.unionByName(edge)
     return taken.distinct()
 
@@ -120,8 +122,10 @@ def add_corridor(corridor: DataFrame, path: DataFrame, radius: int, shape) -> Da
     keys = ["scene_id", *CELL]
     edge = path.select(keys).distinct()
     taken = corridor.select(keys).unionByName(edge)
-    for _ in range(radius):
-        edge = inflate(edge, 1, 6, shape).select(keys).join(taken, keys, "left_anti")
+    for n in range(radius):
+        edge = inflate(edge, 1, 6, shape).select(keys)
+        if n + 1 < radius:  # of the last round only new cells are left by the distinct
+            edge = edge.join(taken.hint("merge"), keys, "left_anti")
         taken = taken.unionByName(edge)
     return taken.distinct()
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipegrid.functions.scalars import pipe_size_mm, utility_label
+from pipegrid.operators.grid import by_scene
 
 SHAPE, CELL_MM = (64, 64, 16), 100.0
 #: The grid of the scenes in which routes are searched, and how many suppliers share one.
@@ -89,12 +90,12 @@ def staircase(own: DataFrame) -> DataFrame:
         F.when(F.col("sj") != F.col("gj"), F.transform(after("sj", "gj"), lambda y: cell(F.col("gi"), y, F.col("sk")))).otherwise(F.array().cast("array<struct<i:int,j:int,k:int>>")),
         F.when(F.col("sk") != F.col("gk"), F.transform(after("sk", "gk"), lambda z: cell(F.col("gi"), F.col("gj"), z))).otherwise(F.array().cast("array<struct<i:int,j:int,k:int>>")),
     )
-    return own.select("task_id", "scene_id", F.posexplode(path).alias("pos", "c")).select("task_id", "scene_id", "pos", "c.i", "c.j", "c.k")
+    return by_scene(own).select("task_id", "scene_id", F.posexplode(path).alias("pos", "c")).select("task_id", "scene_id", "pos", "c.i", "c.j", "c.k")
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The staircase paths of all tasks."""
-    return staircase(tasks(spark, sf_dir))
+def paths(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """The staircase paths of all tasks, or of some."""
+    return staircase(tasks(spark, sf_dir).where(which))
 
 
 def segment_details(spark: SparkSession, sf_dir: str, route: str = "l_orderkey") -> DataFrame:

@@ -13,12 +13,16 @@ from pipegrid.sources import derived as D
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["grd_dense", "j_snap_or_null"])
+@pytest.mark.parametrize("name", ["grd_dense", "j_snap_or_null", "set_corridor"])
 def test_cells_are_not_broadcast(spark, name):
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
 
 
+def test_paths_are_spread_before_they_become_many(spark):
+    assert D.paths(spark, FOLDER).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_dense_of_a_shape_that_words_do_not_fill(spark):
     shape, taken = (5, 3, 7), {(1, 0, 0, 0), (1, 4, 2, 6), (1, 2, 1, 3), (2, 1, 1, 1), (2, 9, 0, 0), (2, 0, 0, 7), (3, 0, 0, 0)}
     cells = spark.createDataFrame(sorted(taken), "scene_id int, i int, j int, k int")
