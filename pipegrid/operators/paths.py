@@ -55,8 +55,8 @@ def sharing_pairs(path: DataFrame) -> DataFrame:
 
 def hits(path: DataFrame, cells: DataFrame) -> DataFrame:
     """Per task how many of its cells are occupied."""
-    found = path.join(cells, ["scene_id", *CELL], "left_semi").groupBy("task_id").agg(F.count(F.lit(1)).alias("hits"))
-    return path.select("task_id").distinct().join(found, "task_id", "left").select("task_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    taken = cells.select("scene_id", *CELL).distinct().withColumn("hit", F.lit(1))
+    return path.join(taken.hint("merge"), ["scene_id", *CELL], "left").groupBy("task_id").agg(F.count("hit").alias("hits"))
 
 
 def blockers(ideal: DataFrame, placed: DataFrame) -> DataFrame:
