@@ -62,7 +62,7 @@ def hits(path: DataFrame, cells: DataFrame) -> DataFrame:
 def blockers(ideal: DataFrame, placed: DataFrame) -> DataFrame:
     """For each ideal path the placed paths that it crosses, in order."""
     other = placed.select("scene_id", *CELL, F.col("task_id").alias("blocker"))
-    found = ideal.join(other, ["scene_id", *CELL]).where("blocker <> task_id").select("task_id", "blocker").distinct()
+    found = ideal.join(other.hint("merge"), ["scene_id", *CELL]).where("blocker <> task_id").select("task_id", "blocker").distinct()
     return found.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_list("blocker")).cast("array<string>"), ",").alias("blockers"))
 
 
