@@ -1,7 +1,8 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
 The lexicon holds the terms (lower-case runs of letters and digits) whose document frequency over the whole corpus lies within
-a band; texts of equal sketch (copies and most near copies) count once, so that a text of many copies keeps its terms. Of each text the distinct terms in the lexicon are kept as 64-bit hashes and sorted; the terms of each of several
+a band; texts of equal sketch (copies and most near copies) count once together, with the terms of all of them, so that a text
+of many copies keeps its terms and no text is left out. Of each text the distinct terms in the lexicon are kept as 64-bit hashes and sorted; the terms of each of several
 randomised subsets of the lexicon are hashed together, and the fingerprint is the list of these hashes. Subsets are drawn at
 three rates (one term in 4, 32 and 256), so that likeness, the share of subsets that agree among those that hold a term of
 either text, falls gradually.
@@ -32,22 +33,26 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w)))
 
 
-def sketch(text: Column) -> Column:
-    """The smallest four term hashes, which near copies have in common."""
-    return F.slice(F.array_sort(term_hashes(text)), 1, 4)
+def sketch(terms: Column) -> Column:
+    """The smallest four term hashes, which near copies have in common, as one hash."""
+    return F.xxhash64(F.slice(F.array_sort(terms), 1, 4))
 
 
-def alike(docs: DataFrame) -> DataFrame:
-    """The term hashes t of one text of each sketch."""
-    return cut(docs.select(term_hashes(F.col("text")).alias("t")).groupBy(F.slice(F.array_sort("t"), 1, 4).alias("sketch")).agg(F.min("t").alias("t")).select("t"))
+def frequencies(docs: DataFrame) -> DataFrame:
+    """Each term hash h of all texts and in how many sketches any text has it (df); the null h has the number of sketches.
+
+    Texts are dealt by sketch, so that only (h, df) is shuffled after that.
+    """
+    own = docs.select(term_hashes(F.col("text")).alias("t")).select(sketch(F.col("t")).alias("s"), "t")
+    dealt = own.repartition("s").select("s", F.explode(F.concat("t", F.array(F.lit(None).cast("long")))).alias("h"))
+    return dealt.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
 
 
 def lexicon(docs: DataFrame, low: float, high: float, least: int) -> DataFrame:
-    """The term hashes h whose frequency is at least max(least, low * n) and at most high * n, of n texts, one of each sketch."""
-    some = alike(docs)
-    n = some.count()
-    found = some.select(F.explode("t").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    return cut(found.where((F.col("df") >= max(least, low * n)) & (F.col("df") <= high * n)).select("h"))
+    """The term hashes h whose frequency is at least max(least, low * n) and at most high * n, of n sketches."""
+    found = cut(frequencies(docs))
+    n = next((r["df"] for r in found.where("h is null").collect()), 0)  # a row at most
+    return cut(found.where(F.col("h").isNotNull() & (F.col("df") >= max(least, low * n)) & (F.col("df") <= high * n)).select("h"))
 
 
 def lookup(kept: DataFrame, n: int) -> tuple[DataFrame, int]:

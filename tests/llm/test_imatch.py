@@ -27,6 +27,16 @@ def test_many_near_copies_keep_their_terms(spark):
     assert all(sum(a == b for a, b in zip(told[0]["fp"], r["fp"], strict=True)) > 14 for r in told)
 
 
+def test_every_text_of_a_sketch_counts(spark):
+    """Terms that only some of the near copies have are counted, whichever of the copies it is."""
+    base = [passage(7 + n, 40) for n in range(2)]
+    low = [sorted((hash64([w.encode()]), w) for w in set(b.split()))[3][0] for b in base]
+    extra = [w for w in (f"extra{n}" for n in range(400)) if hash64([w.encode()]) > max(low)][:8]
+    texts = [(8 * n + m, f"{b} {w}") for n, b in enumerate(base) for m, w in enumerate(extra)] + [(100 + n, passage(100 + n, 9)) for n in range(30)]
+    kept = {r["h"] for r in imatch.lexicon(spark.createDataFrame(rows(texts), SCHEMA), 0.0005, 0.2, 2).collect()}
+    assert {hash64([w.encode()]) for w in extra} <= kept
+
+
 def test_few_documents_are_told_by_their_terms(spark):
     base = passage(2, 200)
     got = imatch.fingerprints(spark.createDataFrame(rows([(n, f"{base} own{n}") for n in range(4)]), SCHEMA)).collect()
