@@ -13,7 +13,7 @@ from pipegrid.sources import derived as D
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["grd_dense", "j_snap_or_null", "set_corridor", "j_path_hits", "j_blockers"])
+@pytest.mark.parametrize("name", ["grd_dense", "j_snap_or_null", "set_corridor", "j_path_hits", "j_snap", "j_blockers"])
 def test_cells_are_not_broadcast(spark, name):
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
