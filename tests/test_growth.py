@@ -19,6 +19,14 @@ def test_cells_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan
 
 
+def test_snap_stays_merged_when_run(spark):
+    """The plan as it ran, since adaptive execution may change joins: nothing goes through the driver."""
+    df = registry.queries()["j_snap"](spark, FOLDER)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_paths_are_spread_before_they_become_many(spark):
     assert D.paths(spark, FOLDER).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
